@@ -18,9 +18,10 @@ CUES = [
     "gone", "nicht gefunden", "introuvable", "no encontramos", "no encontrada", "seite", "página", "traceback", "exception", "error", "erreur", "fehler",
     "warning:", "fatal", "errno", "stack trace", "at java", ".java:", "line ", "status", "as an ai", "language model", "i cannot", "i can't", "unable to",
     "lorem", "ipsum", "dummy", "filler", "sample text", "sample paragraph", "placeholder", "coming soon", "content pending", "to be written", "to be added",
-    "to be announced", "insert ", "goes here", "placed here", "to follow", "final recap", "todo", "tbd", "fixme", "to supply", "title of post", "use this space",
-    "demo article", "click to edit", "add details", "delete this note", "your text here", "headline", "subhead", "xxxx", "??", "asdf", "qwer", "hjkl", "blah", "replace with",
-    "edit or remove", "under construction",
+    "to be announced", "insert ", "goes here", "placed here", "to follow", "final recap", "tbd", "fixme", "to supply", "title of post", "use this space",
+    "demo article", "click to edit", "add details", "delete this note", "your text here", "headline", "subhead", "xxxx", "??", "asdf", "qwer", "hjkl", "blah", "bla ", "foo ", "replace with",
+    "edit or remove", "under construction", "viatur", "velora", "perenna", "mondus", "sartica", "calator", "reliqua", "testudo", "fornix", "quadrum",
+    "novara", "alveus", "corpia", "brevia", "consectetur", "adipiscing",
 ]
 
 # What fingers type to fill a field.
@@ -41,8 +42,8 @@ _OUCH = r"^(?:(?:oops|whoops|uh-oh|hmm|sorry|ups)\b[!.,…]*\s*)?"
 
 # Kind and pattern.
 VERDICTS = [
-    ("error", r"^(?:error|http|http error|erreur|fehler|status)?\s*<\*>\s*[-:|–—]?\s*(?!<\*>)" + _STATUS + r"[.!]?$"),
-    ("error", r"^(?:error|http|http error|erreur|fehler) <\*>\s*[-:|–—]?\s*" + _STATUS + r"[.!]?$"),
+    ("error", r"^(?:error|http|http error|erreur|fehler|status)?\s*<\*>\s*(?:[-:|–—]|<\*>)?\s*(?!<\*>)" + _STATUS + r"[.!]?$"),
+    ("error", r"^(?:error|http|http error|erreur|fehler) <\*>\s*(?:[-:|–—]|<\*>)?\s*" + _STATUS + r"[.!]?$"),
     ("error", r"^\{.*\"(?:error|exception|errors?_code|status)\" ?:.*\"(?:error|message|detail|trace|status)\" ?:"),
     ("error", r"^(?:<!doctype[^>]*>\s*)?<html>.*<title>[^<]*(?:<\*>|error|not found|forbidden|denied)"),
     ("trace", r"^traceback \(most recent call last\)"),
@@ -74,14 +75,14 @@ VERDICTS = [
     ("waiting", r"^(?:slow down: )?too many requests(?: from your \w+)?[.!]?$"),
     ("filler", r"^(?:(?:dummy|sample|filler|placeholder) (?:paragraph|text|line)(?: for layout)?[.\s]*)+$"),
     ("filler", r"\blorem ipsum\b"),
-    ("filler", r"^(?:coming soon|content pending|to be (?:written|added|announced)|under construction|tbd|tba|todo|\.\.\.)[.!]?$"),
+    ("filler", r"^(?:coming soon|content pending|to be (?:written|added|announced)|under construction|tbd|tba|\.\.\.)[.!]?$"),
     ("filler", r"^insert (?:\w+ ){0,2}(?:headline|subhead|quote|title|text|name|image|caption|body|date|chart)[.!]?$"),
     ("filler", r"\bgoes (?:here|in this block)\b(?:[.!\]]|$)"),
     ("filler", r"^\[placeholder\b"),
     ("filler", r"\bwill be placed here\b"),
     ("filler", r"^(?:title of post|headline goes here|use this space to \w+|this is a demo \w+|text block: click to edit|edit or remove (?:it|this)\b|add details about your\b|(?:your|enter) text here)"),
     ("filler", r"<!-- ?(?:replace|todo|insert|placeholder)\b|\blead paragraph to follow\b"),
-    ("to-do", r"^(?:todo|tbd|fixme|tk)\b\s*[-:–—]"),
+    ("to-do", r"^(?:tbd|fixme|tk)\b\s*[-:–—]"),
     ("to-do", r"^\(\S+ to supply\b"),
     ("to-do", r"^delete this (?:note|text|paragraph|line) (?:and|before)\b"),
     ("to-do", r"\bx{3,}(?:\.x+)?\b.*(?:\?\?|section)|\bsection \?\?"),

@@ -7,8 +7,9 @@ in most places form one template, whose differing places become wildcards; cue
 words are never wildcards.  Each template is classified once, and the verdict
 goes back to all its messages and from them to the documents.
 
-Ordinary records are searched directly for slots that were never filled and for
-values that never arrived; what stands in back quotes is quoted, not unfilled.
+Ordinary records are searched directly for slots that were never filled, values
+that never arrived and mashed keys, whose words vary too freely for a template;
+what stands in back quotes is quoted, not unfilled.
 
 A verdict needs a cue word among a template's constant words, and constants are
 in every message of the template, so messages without a cue word are decided
@@ -64,10 +65,10 @@ _SLOT = re.compile(
     r"|\[[A-Z][A-Z_]{3,}\]"
     r"|\[(?:your|insert|enter|add)\b[^\[\]\n]{1,60}\]"
     r"|<(?:insert|your|enter|add)\s[^<>\n]{1,60}>"
-    r"|\b(?:TODO|TBD|FIXME)\([^()\n]{0,60}\)"
+    r"|\b(?:TODO|TBD|FIXME)(?:\([^()\n]{0,60}\)|\s?[:\-–—])"
     r"|\bXX [A-Z_ ]{3,40} XX\b"
 )
-_SLOT_SIGNS = ("{", "<", "[", "@@", "%", "__", "TODO(", "TBD(", "FIXME(", "XX ")
+_SLOT_SIGNS = ("{", "<", "[", "@@", "%", "__", "TODO", "TBD", "FIXME", "XX ")
 _QUOTED_CODE = re.compile(r"`[^`\n]*`")
 _MISSING = re.compile(r"(?<![\w`'\"])(?:None|null|nan|NaN|undefined|N/A%N/A|\[object Object\])(?=R?(?![\w`'\"]))")
 _MISSING_SIGNS = ("None", "null", "nan", "NaN", "undefined", "N/A%N/A", "[object Object]")
@@ -75,7 +76,7 @@ _SENTENCE = re.compile(r"\n+|(?<=[.!?…])[ \t]+")
 _LEAD = re.compile(r"^(?:[-*•>]\s+|(?:q|a)\s*:\s+|\d+[.)]\s+|question \d+:\s+)+", re.I)
 _MASKS = [
     (re.compile(r"\"[^\"\n]{0,200}\"|(?<!\w)'[^'\n]{0,80}'(?!\w)"), WILD),
-    (re.compile(r"(?<!\w)(?=[0-9a-f]*\d)[0-9a-f]+(?!\w)"), WILD),
+    (re.compile(r"(?<!\w)(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{4,}(?!\w)"), WILD),
     (re.compile(r"\d+(?:[.,:]\d+)*"), WILD),
     (re.compile(r"(?<!\w)[a-z]+(?:_[a-z]+)+(?!\w)"), WILD),
 ]
@@ -128,19 +129,22 @@ def mask(message: str) -> str:
     return " ".join(out.split())
 
 
-def messages(text: str) -> list[str]:
-    """The masked messages of a text that hold a cue word, each once."""
+def messages(text: str) -> tuple[list[str], bool]:
+    """The masked messages of a text that hold a cue word, each once; whether any text is mashed."""
     has_cue = _finder()
-    found = {}
+    found, typed = {}, False
     for part in _SENTENCE.split(text):
         low = part.lower()
         if low.strip() in ("...", "…"):
             found["..."] = None
         elif has_cue(low):
+            if mashed(low):
+                typed = True
+                continue
             m = mask(part)
             if m:
                 found[m] = None
-    return list(found)
+    return list(found), typed
 
 
 def leaf(words: list[str], key: int, rule: TreeRule) -> int:
@@ -156,8 +160,6 @@ def _verdicts() -> list[tuple[str, re.Pattern]]:
 
 def classify(template: str) -> str | None:
     """The kind of residue that a template is, or None for ordinary text."""
-    if mashed(template):
-        return "filler"
     for kind, pattern in _verdicts():
         if pattern.search(template):
             return kind
@@ -209,14 +211,14 @@ def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
             for i, t in enumerate(b.column("text").to_pylist()):
                 open_slot = unfilled(t)
                 low = t.lower()
-                kept = messages(t) if has_cue(low) or "..." in t or "…" in t else []
-                if not (open_slot or kept):
+                kept, typed = messages(t) if has_cue(low) or "..." in t or "…" in t else ([], False)
+                if not (open_slot or typed or kept):
                     continue
                 packed = []
                 for m in kept:
                     key = xxhash.xxh64_intdigest(m) - (1 << 63)
                     packed.append({"leaf": leaf(m.split(" "), key, rule), "key": key, "masked": m})
-                at.append(i), direct.append(open_slot), found.append(packed)
+                at.append(i), direct.append(open_slot or typed), found.append(packed)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(direct, pa.bool_()), pa.array(found, msg)], names=["doc_id", "unfilled", "msgs"])
 
     return rows.mapInArrow(work, f"doc_id {kind}, unfilled boolean, msgs array<struct<leaf:bigint,key:bigint,masked:string>>")

@@ -84,17 +84,21 @@ _MASKS = [
 
 @lru_cache(maxsize=1)
 def _finder():
-    """All cue words at once: an automaton, or one expression without it."""
+    """A function that yields the (start, end) of cues in a lower-case text: an automaton's, or an expression's without it."""
     try:
         import ahocorasick
     except ImportError:
         any_cue = re.compile("|".join(re.escape(c) for c in sorted(CUES, key=len, reverse=True)))
-        return lambda low: any_cue.search(low) is not None
+        return lambda low: (m.span() for m in any_cue.finditer(low))
     tree = ahocorasick.Automaton()
     for c in CUES:
-        tree.add_word(c, c)
+        tree.add_word(c, len(c))
     tree.make_automaton()
-    return lambda low: next(tree.iter(low), None) is not None
+    return lambda low: ((end + 1 - size, end + 1) for end, size in tree.iter(low))
+
+
+def has_cue(low: str) -> bool:
+    return next(iter(_finder()(low)), None) is not None
 
 
 def unfilled(text: str) -> bool:
@@ -131,7 +135,6 @@ def mask(message: str) -> str:
 
 def messages(text: str) -> tuple[list[str], bool]:
     """The masked messages of a text that hold a cue word, each once; whether any text is mashed."""
-    has_cue = _finder()
     found, typed = {}, False
     for part in _SENTENCE.split(text):
         low = part.lower()
@@ -166,17 +169,25 @@ def classify(template: str) -> str | None:
     return None
 
 
-def _constant(word: str) -> bool:
-    return _finder()(word)
+def constants(message: str) -> list[bool]:
+    """Per word of a message, whether a cue touches it."""
+    hit = bytearray(len(message) + 1)
+    for s, e in _finder()(message):
+        hit[s:e] = b"\1" * (e - s)
+    out, at = [], 0
+    for w in message.split(" "):
+        out.append(any(hit[at : at + len(w)]))
+        at += len(w) + 1
+    return out
 
 
-def mine(masked: list[str], rule: TreeRule) -> list[int]:
-    """Template number per message of one leaf; messages come in sorted order."""
+def mine(masked: list[str], rule: TreeRule) -> tuple[list[int], list[str]]:
+    """Template number per message of one leaf, and the templates; messages come in sorted order."""
     templates: list[list[str]] = []
     fixed: list[list[bool]] = []
     out = []
     for m in masked:
-        words = m.split(" ")
+        words, held = m.split(" "), constants(m)
         best, at = -1.0, -1
         for i, t in enumerate(templates):
             if len(t) != len(words):
@@ -184,18 +195,17 @@ def mine(masked: list[str], rule: TreeRule) -> list[int]:
             equal = sum(a == b for a, b in zip(t, words))
             if equal < rule.alike * len(words) or equal / len(words) <= best:
                 continue
-            if any(a != b and (f or _constant(b)) for a, b, f in zip(t, words, fixed[i])):
+            if any(a != b and (f or h) for a, b, f, h in zip(t, words, fixed[i], held)):
                 continue
             best, at = equal / len(words), i
         if at < 0:
             templates.append(words)
-            fixed.append([_constant(w) for w in words])
+            fixed.append(held)
             at = len(templates) - 1
         elif best < 1:
             templates[at] = [a if a == b else WILD for a, b in zip(templates[at], words)]
         out.append(at)
-    mine.templates = [" ".join(t) for t in templates]
-    return out
+    return out, [" ".join(t) for t in templates]
 
 
 def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
@@ -205,7 +215,6 @@ def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has_cue = _finder()
         for b in batches:
             at, direct, found = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
@@ -233,8 +242,7 @@ def templates(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
         masked = t.column("masked").to_pylist()
         rows, names, kinds = [], [], []
         for s, e in zip(starts, [*starts[1:], t.num_rows]):
-            of = mine(masked[s:e], rule)
-            forms = mine.templates
+            of, forms = mine(masked[s:e], rule)
             verdict = [classify(f) for f in forms]
             for i, k in enumerate(of):
                 if verdict[k]:

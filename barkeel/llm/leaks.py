@@ -50,9 +50,9 @@ class LeakRule:
 _SEPARATOR = "\x01"
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt\"/])")
 _TAG = re.compile(r"</?[A-Za-z][^<>\x01]{0,200}>|<!--[^\x01]{0,400}?-->")
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
-_SOFT_SPLIT = re.compile("­[ \\t]*\\r?\\n[ \\t]*")
-_SPLIT = re.compile("[-‐‑][ \\t]*\\r?\\n[ \\t>]*(?=\\w)")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+_SOFT_SPLIT = re.compile("\u00ad[ \\t]*\\r?\\n[ \\t]*")
+_SPLIT = re.compile("[-\u2010\u2011][ \\t]*\\r?\\n[ \\t>]*(?=\\w)")
 _TOKEN = re.compile(r"[^\W_]+|\x01")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

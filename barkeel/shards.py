@@ -61,3 +61,37 @@ def sharded_map(df: DataFrame, keys: list[str], order: list[str], kernel: Kernel
     """Apply ``kernel(table, group_starts)`` to whole groups, many groups a call."""
     arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return arranged.mapInArrow(lambda batches: _stream(batches, keys, kernel), schema)
+
+
+def ordered_stream(df: DataFrame, keys: list[str], order: list[str], fold: type, arguments: tuple, schema: str) -> DataFrame:
+    """Run one ``fold`` object along each group, batch by batch, in order.
+
+    ``fold(*arguments)`` is made at a group's start; ``feed(table)`` takes the next
+    stretch of it and ``close()`` ends it; both return a table of results or None.
+    A task holds one batch and one fold's state, however long a group is.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            starts = group_starts(table, keys)
+            out = []
+            for s, e in zip(starts, [*starts[1:], table.num_rows]):
+                key = tuple(table.column(k)[int(s)].as_py() for k in keys)
+                if current is None or key != last:
+                    if current is not None:
+                        out.append(current.close())
+                    current, last = fold(*arguments), key
+                out.append(current.feed(table.slice(int(s), int(e - s))))
+            for t in out:
+                if t is not None and t.num_rows:
+                    yield from t.to_batches()
+        if current is not None:
+            t = current.close()
+            if t is not None and t.num_rows:
+                yield from t.to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)

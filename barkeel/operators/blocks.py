@@ -25,11 +25,16 @@ class Blocks:
     halo: int = 512
     span_seconds: int = 14 * 86400
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.halo <= self.rows:
+            raise ValueError("a halo comes from one block, so it cannot be longer than one")
+
     def for_period(self, period: int) -> Blocks:
         """Blocks in which an average of this period can be carried by powers of its decay."""
         decay = -math.log(1 - 2 / (period + 1)) if period > 1 else 40.0
         halo = max(64, math.ceil(40 / decay))
-        return Blocks(rows=max(64, min(self.rows, math.floor(600 / decay) - halo)), halo=max(halo, min(self.halo, math.floor(300 / decay))), span_seconds=self.span_seconds)
+        rows = max(halo, min(self.rows, math.floor(600 / decay) - halo))
+        return Blocks(rows=rows, halo=min(rows, max(halo, min(self.halo, math.floor(300 / decay)))), span_seconds=self.span_seconds)
 
 
 def indexed(bars: DataFrame, blocks: Blocks = Blocks()) -> DataFrame:

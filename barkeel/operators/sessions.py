@@ -83,14 +83,14 @@ def expected_minutes(sessions: DataFrame) -> DataFrame:
 def minute_differences(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Minutes that lack a bar (missing) and bars outside the sessions (extra), per series."""
     series = bars.select(*SERIES).distinct()
-    want = _expected_per_series(series, sessions)
+    want = expected_per_series(series, sessions)
     have = bars.select(*SERIES, "timestamp").distinct()
     missing = want.join(have, [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("missing").alias("kind"))
     extra = have.join(want.select(*SERIES, "timestamp"), [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("extra").alias("kind"))
     return missing.unionByName(extra)
 
 
-def _expected_per_series(series: DataFrame, sessions: DataFrame) -> DataFrame:
+def expected_per_series(series: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each series with every expected minute: the calendar travels as one bounded array of sessions."""
     calendar = sessions.agg(F.sort_array(F.collect_list(F.struct("open_ts", "close_ts", "session_date"))).alias("cal")).first()["cal"]
     spans = F.array(*(F.struct(F.lit(r["open_ts"]).alias("open_ts"), F.lit(r["close_ts"]).alias("close_ts"), F.lit(r["session_date"]).alias("session_date")) for r in calendar))

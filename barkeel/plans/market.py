@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from barkeel.config import ExecutionConfig, MarketConfig, Pipeline, SetupConfig, StatisticsConfig
 from barkeel.functions.bars import expected_value, label, risk_reward, slug
-from barkeel.operators import execution, features, patterns, sessions, setups, statistics, validate
-from barkeel.operators.blocks import SERIES
+from barkeel.operators import execution, features, patterns, sessions, setups, statistics, validate, views
+from barkeel.operators.blocks import SERIES, indexed
 from barkeel.plans.market_sql import ORACLE
 from barkeel.plans.tables import table
 from barkeel.session import durable
@@ -236,11 +237,50 @@ def stats_labels(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pattern_type", "market_regime", label(F.col("pattern_type"), F.col("market_regime")).alias("label"), slug(label(F.col("pattern_type"), F.col("market_regime"))).alias("slug"))
 
 
+def chart_window(spark: SparkSession, d: str) -> DataFrame:
+    """The last 50 bars of each event type."""
+    rows = indexed(event_bars(spark, d))
+    return views.chart_window(rows, 50).select("symbol", "bar_index", "close")
+
+
+def chart_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and exits of the simulated trades among the last 2000 bars."""
+    trades = durable(_trades(spark, d))
+    marks = views.trade_markers(trades, views.chart_window(indexed(event_bars(spark, d)), 2000))
+    return marks.select("symbol", "trade_id", "kind", F.unix_seconds("at").alias("at_s"), F.round("price", 6).alias("price"))
+
+
+def dimension_values(spark: SparkSession, d: str) -> DataFrame:
+    return views.dimension_values(table(spark, d, "trade_log"), "market_regime")
+
+
+def filtered_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the pattern-and-regime scope for one regime."""
+    s = views.filter_statistics(statistics.setup_statistics(_log(spark, d)), scope="PATTERN_REGIME", market_regime="BULL_TREND", pattern_type="All")
+    return s.select(*SERIES, "strategy_version", "pattern_type", "total", "wins")
+
+
+def session_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """Expected minutes and first minute of each New York session of four months."""
+    minutes = sessions.expected_minutes(sessions.session_table(spark, dt.date(2025, 8, 1), dt.date(2025, 11, 30)))
+    return minutes.groupBy(F.date_format("session_date", "yyyy-MM-dd").alias("session_date")).agg(F.count(F.lit(1)).alias("minutes"), F.unix_seconds(F.min("timestamp")).alias("open_s"))
+
+
+def session_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Minutes without a bar, per series and local date, for bars that lack every seventh expected minute."""
+    calendar = sessions.session_table(spark, dt.date(2025, 8, 4), dt.date(2025, 8, 8))
+    series = table(spark, d, "instruments").where("market = 'NORTH'").select("symbol", F.lit("1m").alias("timeframe"))
+    bars = sessions.expected_per_series(series, calendar).where(F.pmod(F.unix_seconds("timestamp") / 60, F.lit(7)) != 0)
+    gaps = sessions.minute_differences(bars.select("symbol", "timeframe", "timestamp"), calendar)
+    return gaps.groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 NAMES = [
     ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
     ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts, tight_range_flags, climax_flags,
     signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
-    setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels,
+    setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
+    session_minute_gaps,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMES}
 

@@ -198,6 +198,14 @@ SELECT symbol, n AS total_trades, w AS wins, l AS losses, w / n AS win_rate, rou
   pattern_type IS NOT NULL AND market_regime IS NOT NULL AS known FROM c GROUP BY symbol, timeframe, strategy_version, pattern_type, market_regime)
 SELECT symbol, timeframe, strategy_version, pattern_type, market_regime, CASE WHEN known THEN n END AS total, CASE WHEN known AND n >= 30 THEN w / n END AS probability_win,
   CASE WHEN NOT known THEN 'NO_MATCHING_STATISTICS' WHEN n < 30 THEN 'INSUFFICIENT_SAMPLE' ELSE 'AVAILABLE' END AS evidence FROM g""",
+    "chart_window": _BARS + ", x AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS bar_index, count(*) OVER (PARTITION BY symbol) AS n FROM b) SELECT symbol, bar_index, close FROM x WHERE bar_index >= n - 50",
+    "dimension_values": "SELECT DISTINCT market_regime FROM trade_log WHERE market_regime IS NOT NULL",
+    "filtered_statistics": _SCOPED + "SELECT symbol, timeframe, strategy_version, pattern_type, total, wins FROM z WHERE scope = 'PATTERN_REGIME' AND market_regime = 'BULL_TREND'",
+    "session_minutes": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2025-08-01', DATE '2025-11-30', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT strftime(day, '%Y-%m-%d') AS session_date, CASE WHEN day = DATE '2025-11-28' THEN 210 ELSE 390 END AS minutes, CAST(epoch(timezone('America/New_York', day + INTERVAL 570 MINUTE)) AS BIGINT) AS open_s
+FROM d WHERE isodow(day) < 6 AND day NOT IN (DATE '2025-09-01', DATE '2025-11-27')""",
+    "session_minute_gaps": """WITH m AS (SELECT epoch(DATE '2025-08-04') // 60 + 1440 * d + 810 + k AS m FROM range(5) t(d), range(390) u(k))
+SELECT symbol, 'missing' AS kind, count(*) AS n FROM instruments, m WHERE market = 'NORTH' AND m % 7 = 0 GROUP BY symbol""",
     "stats_labels": """SELECT DISTINCT pattern_type, market_regime, concat_ws(' / ', pattern_type, market_regime) AS label,
   substr(regexp_replace(regexp_replace(lower(concat_ws(' / ', pattern_type, market_regime)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM trade_log""",
 }

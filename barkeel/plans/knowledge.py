@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +101,7 @@ def sql_set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def partition_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Series of a store that was just written from the delivered bars."""
-    root = f"{shared_dir(spark)}/catalog-{abs(hash((d, spark.sparkContext.applicationId))):x}"
-    store = BarStore(spark, root)
+    store = BarStore(spark, _fresh(spark, "catalog"))
     store.write(_clean(spark, d).select(*features.BARS), WIDE.strategy_version)
     return store.read().groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("n_bars"))
 
@@ -126,25 +124,34 @@ def rule_gate(spark: SparkSession, d: str) -> DataFrame:
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     """Hourly bars of the events as a stream that ends with the input."""
     schema = table(spark, d, "events").schema
-    stage = tempfile.mkdtemp(dir=shared_dir(spark).removeprefix("file://")) if not shared_dir(spark).startswith(("hdfs", "s3", "gs", "abfs")) else f"{shared_dir(spark)}/s"
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(d)
+    reader = spark.readStream.schema(schema)
+    src = reader.parquet(f"{d}/events.parquet") if _is_folder(spark, f"{d}/events.parquet") else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     e = src.where("ts is not null and value is not null and event_type is not null").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") + 100.0).alias("price"))
     bars = bars_from_ticks(e, "event_type", "ts", "price", "event_id")
-    return _drain(spark, bars, "complete", f"{stage}/bars").select("symbol", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", "volume")
+    return _drain(spark, bars, "complete", _fresh(spark, "bars")).select("symbol", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", "volume")
 
 
 def stream_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Pattern events of the streaming machine over the context rows."""
     rows = features.market_context(event_bars(spark, d), WIDE)
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(d)):x}"
-    rows.write.mode("overwrite").parquet(f"{base}/in")
+    base = _fresh(spark, "events")
+    rows.write.parquet(f"{base}/in")
     src = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     return _drain(spark, pattern_stream(src, WIDE), "append", f"{base}/ev").select("symbol", "bar_index", "pattern_type", "start_index", "pullback_bars")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def _fresh(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def _drain(spark: SparkSession, stream: DataFrame, mode: str, path: str) -> DataFrame:
     """Run a stream to the end of its input, each batch written (or, in complete mode, written anew) to a folder."""
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")

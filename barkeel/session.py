@@ -72,7 +72,8 @@ def ship(spark: SparkSession) -> None:
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
-    Lost executors cost nothing but the re-read of files.
+    Lost executors cost nothing but the re-read of files.  On a local master the
+    table is removed when Python ends; on a cluster the folder's owner clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/barkeel-{uuid.uuid4().hex}"
@@ -80,4 +81,6 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
+    if spark.sparkContext.master.startswith("local["):
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)

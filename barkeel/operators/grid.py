@@ -47,12 +47,12 @@ def shard_summaries(bars: DataFrame, plan: DataFrame) -> DataFrame:
         F.col("timestamp").alias("_ts"), F.col("close").cast("double").alias("_close"), F.col("received_at").alias("_received"), F.col("bar_id").alias("_id"),
     )
     inside = (reach["symbol"] == read["_s"]) & (reach["timeframe"] == read["_t"]) & (reach["_day"] == read["_d"]) & (read["_ts"] >= reach["open_ts"]) & (read["_ts"] < reach["close_ts"])
-    hit = reach.join(read, inside).select(
-        *SHARD, F.floor((F.unix_micros("_ts") - F.unix_micros("open_ts")) / F.col("slot_us")).cast("int").alias("slot"),
-        F.struct("_ts", "_received", "_id", "_close").alias("r"),
-    )
-    per_slot = hit.groupBy(*SHARD, "slot").agg(F.max("r").alias("r"))
-    per_shard = per_slot.groupBy(*SHARD).agg(F.sort_array(F.collect_list(F.struct("slot", F.col("r._ts").alias("ts"), F.col("r._close").alias("close")))).alias("read"))
+    slot = F.floor((F.unix_micros("_ts") - F.unix_micros("open_ts")) / F.col("slot_us")).cast("int")
+    hit = reach.join(read, inside).select(*SHARD, F.struct(slot.alias("slot"), F.col("_ts").alias("ts"), "_received", "_id", F.col("_close").alias("close")).alias("r"))
+    # a session's readings are few, so one shuffle brings them together; of a slot's readings the last in order stays
+    per_shard = hit.groupBy(*SHARD).agg(F.sort_array(F.collect_list("r")).alias("_all"))
+    final = F.filter("_all", lambda r, i: (i == F.size("_all") - 1) | (F.get("_all", i + 1)["slot"] != r["slot"]))
+    per_shard = per_shard.select(*SHARD, F.transform(final, lambda r: F.struct(r["slot"].alias("slot"), r["ts"].alias("ts"), r["close"].alias("close"))).alias("read"))
     joined = sessions.join(per_shard, SHARD, "left")
     return joined.withColumn("read", F.coalesce("read", F.array().cast(per_shard.schema["read"].dataType)))
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barkeel.operators import explain, features, patterns, setups, text, vectors
-from barkeel.plans.market import WIDE, _clean, _stages, event_bars
+from barkeel.operators.blocks import SERIES
+from barkeel.plans.market import WIDE, Source, _clean, _stages, event_bars
 from barkeel.plans.market_sql import _BARS, _CLEAN, _SETUPS
 from barkeel.plans.tables import table
 from barkeel.session import durable, shared_dir
@@ -131,13 +134,13 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, bars, "complete", _fresh(spark, "bars")).select("symbol", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", "volume")
 
 
-def stream_patterns(spark: SparkSession, d: str) -> DataFrame:
+def stream_patterns(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Pattern events of the streaming machine over the context rows."""
-    rows = features.market_context(event_bars(spark, d), WIDE)
+    rows = features.market_context(bars(spark, d), WIDE)
     base = _fresh(spark, "events")
     rows.write.parquet(f"{base}/in")
     src = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    return _drain(spark, pattern_stream(src, WIDE), "append", f"{base}/ev").select("symbol", "bar_index", "pattern_type", "start_index", "pullback_bars")
+    return _drain(spark, pattern_stream(src, WIDE), "append", f"{base}/ev").select(*keys, "bar_index", "pattern_type", "start_index", "pullback_bars")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -161,10 +164,10 @@ def _drain(spark: SparkSession, stream: DataFrame, mode: str, path: str) -> Data
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def stream_equals_batch(spark: SparkSession, d: str) -> DataFrame:
+def stream_equals_batch(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Counts of events per pattern, from the batch operator."""
-    rows = durable(features.market_context(event_bars(spark, d), WIDE))
-    return patterns.detect(rows, WIDE).where("kind = 'event'").groupBy("symbol", "pattern_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = durable(features.market_context(bars(spark, d), WIDE))
+    return patterns.detect(rows, WIDE).where("kind = 'event'").groupBy(*keys, "pattern_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -173,7 +176,7 @@ QUERIES = {
         markdown_paragraphs, html_paragraphs, knowledge_chunks, ngram_features, hash_embedding, vector_topk, vector_topk_filtered, passage_retrieval, explanation_prompts,
         sql_parameterized, sql_grouping_sets, sql_set_difference, partition_catalog, manifest_upsert, rule_gate, stream_bars, stream_patterns, stream_equals_batch,
     )
-}
+} | {f"ohlcv_{f.__name__}": partial(f, bars=_clean, keys=SERIES) for f in (stream_patterns, stream_equals_batch)}
 
 _MD = r"""
 WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS raw, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS n FROM documents WHERE text IS NOT NULL),

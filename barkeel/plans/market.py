@@ -1,9 +1,15 @@
-"""Queries of the market pipeline over bars made from the ``events`` table, with their SQL."""
+"""Queries of the market pipeline, with their SQL.
+
+A stage runs over two inputs: bars made from the ``events`` table, which have SQL,
+and the delivered bars of ``sample_ohlcv`` (``ohlcv_`` before the stage's name), whose
+series are too long for the recursion of the SQL; a plain loop tests those.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +28,7 @@ WIDE = Pipeline(
     market=MarketConfig(0.01, 1.0), execution=ExecutionConfig(slippage_ticks=1, commission=0.25), statistics=StatisticsConfig(minimum_sample=5),
 )
 SHIFT = 100.0
+Source = Callable[[SparkSession, str], DataFrame]
 
 
 def event_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -42,24 +49,24 @@ def _clean(spark: SparkSession, d: str) -> DataFrame:
     return validate.keep_last(good, "received_at", "bar_id")
 
 
-def _spine(spark: SparkSession, d: str) -> DataFrame:
-    return setups.spine(event_bars(spark, d), WIDE)
+def _spine(spark: SparkSession, d: str, bars: Source) -> DataFrame:
+    return setups.spine(bars(spark, d), WIDE)
 
 
-def _stages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _stages(spark: SparkSession, d: str, bars: Source = event_bars) -> tuple[DataFrame, DataFrame]:
     """The spine, written once as several stages read it, and all evaluations."""
-    rows = durable(_spine(spark, d))
+    rows = durable(_spine(spark, d, bars))
     return rows, setups.evaluate_setups(patterns.pattern_events(rows, WIDE), rows, WIDE)
 
 
-def _simulated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows, evaluated = _stages(spark, d)
+def _simulated(spark: SparkSession, d: str, bars: Source) -> tuple[DataFrame, DataFrame]:
+    rows, evaluated = _stages(spark, d, bars)
     accepted = durable(setups.signals(evaluated))
     return execution.simulate(rows, accepted, WIDE), accepted
 
 
-def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return execution.trade_log(*_simulated(spark, d), WIDE)
+def _trades(spark: SparkSession, d: str, bars: Source) -> DataFrame:
+    return execution.trade_log(*_simulated(spark, d, bars), WIDE)
 
 
 def ohlcv_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -90,11 +97,11 @@ def session_coverage(spark: SparkSession, d: str) -> DataFrame:
     return c.select(*SERIES, F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "last_close", "n_bars", F.round("mean_volume", 4).alias("mean_volume"))
 
 
-def bar_features(spark: SparkSession, d: str) -> DataFrame:
-    f = features.bar_features(event_bars(spark, d), WIDE)
+def bar_features(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    f = features.bar_features(bars(spark, d), WIDE)
     cols = [c for c in features.FEATURES if c not in ("ema20", "distance_to_ema", "ema_slope")]
     nums = [c for c in cols if dict(f.dtypes)[c] == "double"]
-    return _round(f.select("symbol", "bar_index", *cols), *nums, digits=9)
+    return _round(f.select(*keys, "bar_index", *cols), *nums, digits=9)
 
 
 def sample_bar_features(spark: SparkSession, d: str) -> DataFrame:
@@ -103,94 +110,94 @@ def sample_bar_features(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("bars"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in ("trend_bar", "doji", "inside_bar", "outside_bar", "higher_high", "lower_low")))
 
 
-def bar_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    f = features.bar_features(event_bars(spark, d), WIDE)
-    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in ("trend_bar", "doji", "inside_bar", "outside_bar")))
+def bar_class_counts(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    f = features.bar_features(bars(spark, d), WIDE)
+    return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in ("trend_bar", "doji", "inside_bar", "outside_bar")))
 
 
-def ema_slope(spark: SparkSession, d: str) -> DataFrame:
-    f = features.bar_features(event_bars(spark, d), WIDE)
-    return _round(f.select("symbol", "bar_index", "ema20", "distance_to_ema", "ema_slope"), "ema20", "distance_to_ema", "ema_slope")
+def ema_slope(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    f = features.bar_features(bars(spark, d), WIDE)
+    return _round(f.select(*keys, "bar_index", "ema20", "distance_to_ema", "ema_slope"), "ema20", "distance_to_ema", "ema_slope")
 
 
-def context_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _round(_spine(spark, d).select("symbol", "bar_index", *features.SCORES), *features.SCORES)
+def context_scores(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _round(_spine(spark, d, bars).select(*keys, "bar_index", *features.SCORES), *features.SCORES)
 
 
-def regime_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _spine(spark, d).groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("bars"))
+def regime_labels(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _spine(spark, d, bars).groupBy(*keys, "regime").agg(F.count(F.lit(1)).alias("bars"))
 
 
-def always_in_state(spark: SparkSession, d: str) -> DataFrame:
-    return _spine(spark, d).select("symbol", "bar_index", "always_in")
+def always_in_state(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _spine(spark, d, bars).select(*keys, "bar_index", "always_in")
 
 
-def pattern_events(spark: SparkSession, d: str) -> DataFrame:
-    e = patterns.pattern_events(durable(_spine(spark, d)), WIDE)
-    return _round(e.select("symbol", "bar_index", "pattern_type", "direction", "start_index", "pullback_bars", "trigger_price", "pattern_score"), "trigger_price", "pattern_score")
+def pattern_events(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    e = patterns.pattern_events(durable(_spine(spark, d, bars)), WIDE)
+    return _round(e.select(*keys, "bar_index", "pattern_type", "direction", "start_index", "pullback_bars", "trigger_price", "pattern_score"), "trigger_price", "pattern_score")
 
 
-def pattern_transitions(spark: SparkSession, d: str) -> DataFrame:
-    t = patterns.detect(durable(_spine(spark, d)), WIDE).where("kind = 'transition'")
-    return t.groupBy("symbol", "detector", "condition").agg(F.count(F.lit(1)).alias("n"))
+def pattern_transitions(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    t = patterns.detect(durable(_spine(spark, d, bars)), WIDE).where("kind = 'transition'")
+    return t.groupBy(*keys, "detector", "condition").agg(F.count(F.lit(1)).alias("n"))
 
 
-def setup_evaluations(spark: SparkSession, d: str) -> DataFrame:
-    _, e = _stages(spark, d)
-    e = e.select("symbol", "bar_index", "pattern_type", "accepted", F.array_join("rejections", ",").alias("rejections"), F.array_join("warnings", ",").alias("warnings"), "entry", "stop", "target", "pullback_depth", "room_r")
+def setup_evaluations(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    _, e = _stages(spark, d, bars)
+    e = e.select(*keys, "bar_index", "pattern_type", "accepted", F.array_join("rejections", ",").alias("rejections"), F.array_join("warnings", ",").alias("warnings"), "entry", "stop", "target", "pullback_depth", "room_r")
     return _round(e, "entry", "stop", "target", "pullback_depth", "room_r")
 
 
-def setup_rejection_counts(spark: SparkSession, d: str) -> DataFrame:
-    _, e = _stages(spark, d)
-    return e.select("symbol", F.explode("rejections").alias("reason")).groupBy("symbol", "reason").agg(F.count(F.lit(1)).alias("n"))
+def setup_rejection_counts(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    _, e = _stages(spark, d, bars)
+    return e.select(*keys, F.explode("rejections").alias("reason")).groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tight_range_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _spine(spark, d).where("tight_range").select("symbol", "bar_index")
+def tight_range_flags(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _spine(spark, d, bars).where("tight_range").select(*keys, "bar_index")
 
 
-def climax_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _spine(spark, d).where("bull_climax or bear_climax").select("symbol", "bar_index", "bull_climax", "bear_climax")
+def climax_flags(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _spine(spark, d, bars).where("bull_climax or bear_climax").select(*keys, "bar_index", "bull_climax", "bear_climax")
 
 
-def signals(spark: SparkSession, d: str) -> DataFrame:
-    _, e = _stages(spark, d)
-    s = setups.signals(e).select("symbol", "bar_index", "direction", "entry", "stop", "target", F.array_join("reasons", "; ").alias("reasons"))
+def signals(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    _, e = _stages(spark, d, bars)
+    s = setups.signals(e).select(*keys, "bar_index", "direction", "entry", "stop", "target", F.array_join("reasons", "; ").alias("reasons"))
     return _round(s, "entry", "stop", "target")
 
 
-def expected_values(spark: SparkSession, d: str) -> DataFrame:
+def expected_values(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Expected value of every signal at even odds, and its risk and reward."""
-    _, e = _stages(spark, d)
+    _, e = _stages(spark, d, bars)
     risk, reward, ratio = risk_reward(F.col("entry"), F.col("stop"), F.col("target"))
     ev, ev_r = expected_value(F.lit(0.5), reward, risk, F.lit(0.02))
-    s = setups.signals(e).select("symbol", "bar_index", risk.alias("risk"), reward.alias("reward"), ratio.alias("ratio"), ev.alias("ev"), ev_r.alias("ev_r"))
+    s = setups.signals(e).select(*keys, "bar_index", risk.alias("risk"), reward.alias("reward"), ratio.alias("ratio"), ev.alias("ev"), ev_r.alias("ev_r"))
     return _round(s, "risk", "reward", "ratio", "ev", "ev_r")
 
 
-def orders(spark: SparkSession, d: str) -> DataFrame:
-    sim, _ = _simulated(spark, d)
-    return sim.groupBy("symbol", "status", F.coalesce("exit_reason", "rejection").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def orders(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    sim, _ = _simulated(spark, d, bars)
+    return sim.groupBy(*keys, "status", F.coalesce("exit_reason", "rejection").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def order_latest_state(spark: SparkSession, d: str) -> DataFrame:
-    return execution.order_states(_simulated(spark, d)[0])
+def order_latest_state(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return execution.order_states(_simulated(spark, d, bars)[0])
 
 
-def trade_log(spark: SparkSession, d: str) -> DataFrame:
-    t = _trades(spark, d).select("trade_id", "symbol", "setup", "direction", "entry_price", "exit_price", "quantity", "pnl", "pnl_r", "mfe", "mae", "bars_held", "signal_bar_index", "exit_reason")
+def trade_log(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    t = _trades(spark, d, bars).select("trade_id", *keys, "setup", "direction", "entry_price", "exit_price", "quantity", "pnl", "pnl_r", "mfe", "mae", "bars_held", "signal_bar_index", "exit_reason")
     return _round(t, "entry_price", "exit_price", "pnl", "pnl_r", "mfe", "mae")
 
 
-def equity_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _round(execution.equity_curve(_trades(spark, d), WIDE).select("symbol", "trade_id", "pnl", "cash"), "pnl", "cash")
+def equity_curve(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    return _round(execution.equity_curve(_trades(spark, d, bars), WIDE).select(*keys, "trade_id", "pnl", "cash"), "pnl", "cash")
 
 
-def mfe_mae_excursion(spark: SparkSession, d: str) -> DataFrame:
+def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Excursions recomputed from the bars by a range join."""
-    sim, _ = _simulated(spark, d)
-    return _round(statistics.excursions(sim.where("status = 'FILLED'"), _spine(spark, d)), "mfe", "mae")
+    sim, _ = _simulated(spark, d, bars)
+    return _round(statistics.excursions(sim.where("status = 'FILLED'"), _spine(spark, d, bars)), "mfe", "mae")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -237,17 +244,17 @@ def stats_labels(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pattern_type", "market_regime", label(F.col("pattern_type"), F.col("market_regime")).alias("label"), slug(label(F.col("pattern_type"), F.col("market_regime"))).alias("slug"))
 
 
-def chart_window(spark: SparkSession, d: str) -> DataFrame:
+def chart_window(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """The last 50 bars of each event type."""
-    rows = indexed(event_bars(spark, d))
-    return views.chart_window(rows, 50).select("symbol", "bar_index", "close")
+    rows = indexed(bars(spark, d))
+    return views.chart_window(rows, 50).select(*keys, "bar_index", "close")
 
 
-def chart_markers(spark: SparkSession, d: str) -> DataFrame:
+def chart_markers(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Entries and exits of the simulated trades among the last 2000 bars."""
-    trades = durable(_trades(spark, d))
-    marks = views.trade_markers(trades, views.chart_window(indexed(event_bars(spark, d)), 2000))
-    return marks.select("symbol", "trade_id", "kind", F.unix_seconds("at").alias("at_s"), F.round("price", 6).alias("price"))
+    trades = durable(_trades(spark, d, bars))
+    marks = views.trade_markers(trades, views.chart_window(indexed(bars(spark, d)), 2000))
+    return marks.select(*keys, "trade_id", "kind", F.unix_seconds("at").alias("at_s"), F.round("price", 6).alias("price"))
 
 
 def dimension_values(spark: SparkSession, d: str) -> DataFrame:
@@ -282,6 +289,10 @@ NAMES = [
     setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
     session_minute_gaps,
 ]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMES}
+STAGES = [
+    bar_features, bar_class_counts, ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts,
+    tight_range_flags, climax_flags, signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, chart_window, chart_markers,
+]
+QUERIES: dict[str, Source] = {f.__name__: f for f in NAMES} | {f"ohlcv_{f.__name__}": partial(f, bars=_clean, keys=SERIES) for f in STAGES}
 
 __all__ = ["ORACLE", "QUERIES"]

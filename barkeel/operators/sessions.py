@@ -80,16 +80,26 @@ def expected_minutes(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_date", F.explode(F.sequence("open_ts", last, F.expr("interval 1 minute"))).alias("timestamp"))
 
 
-def minute_differences(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Minutes that lack a bar (missing) and bars outside the sessions (extra), per series."""
-    series = bars.select(*SERIES).distinct()
-    want = expected_per_series(series, sessions)
-    have = bars.select(*SERIES, "timestamp").distinct()
+def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
     missing = want.join(have, [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("missing").alias("kind"))
     extra = have.join(want.select(*SERIES, "timestamp"), [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("extra").alias("kind"))
     return missing.unionByName(extra)
 
 
+def minute_differences(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Minutes that lack a bar (missing) and bars outside the sessions (extra), per series."""
+    series = bars.select(*SERIES).distinct()
+    return _differences(expected_per_series(series, sessions), bars.select(*SERIES, "timestamp").distinct())
+
+
+def planned_differences(bars: DataFrame, plan: DataFrame) -> DataFrame:
+    """The same against the planned sessions of each series; a bar counts for the minute that holds it, and a planned series without bars lacks all."""
+    last = F.col("close_ts") - F.expr("interval 1 minute")
+    spans = plan.where(F.col("open_ts") <= last)
+    want = spans.select(*SERIES, F.explode(F.sequence("open_ts", last, F.expr("interval 1 minute"))).alias("timestamp")).distinct()
+    return _differences(want, bars.select(*SERIES, F.date_trunc("minute", "timestamp").alias("timestamp")).distinct())
+
+
 def expected_per_series(series: DataFrame, sessions: DataFrame) -> DataFrame:
     """Each series with every expected minute: the calendar travels as one bounded array of sessions."""
     calendar = sessions.agg(F.sort_array(F.collect_list(F.struct("open_ts", "close_ts", "session_date"))).alias("cal")).first()["cal"]

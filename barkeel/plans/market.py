@@ -42,11 +42,13 @@ def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+def _valid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sample_ohlcv").withColumn("reason", validate.reject_reason()).where("reason is null")
+
+
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     """sample_ohlcv without rows that are no bars, re-sent bars once."""
-    bars = table(spark, d, "sample_ohlcv")
-    good = bars.withColumn("reason", validate.reject_reason()).where("reason is null")
-    return validate.keep_last(good, "received_at", "bar_id")
+    return validate.keep_last(_valid(spark, d), "received_at", "bar_id")
 
 
 def _spine(spark: SparkSession, d: str, bars: Source) -> DataFrame:
@@ -274,7 +276,7 @@ def session_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Minutes without a bar, per series and local date, for bars that lack every seventh expected minute."""
+    """Minutes without a bar, per series and local date, for bars that lack every seventh expected minute; delivered bars are in ohlcv_minute_gaps."""
     calendar = sessions.session_table(spark, dt.date(2025, 8, 4), dt.date(2025, 8, 8))
     series = table(spark, d, "instruments").where("market = 'NORTH'").select("symbol", F.lit("1m").alias("timeframe"))
     bars = sessions.expected_per_series(series, calendar).where(F.pmod(F.unix_seconds("timestamp") / 60, F.lit(7)) != 0)
@@ -282,12 +284,18 @@ def session_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
     return gaps.groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ohlcv_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Per delivered 1m series and UTC day, planned minutes without a bar and minutes with a bar outside the planned sessions."""
+    gaps = sessions.planned_differences(_valid(spark, d).where("timeframe = '1m'"), table(spark, d, "session_plan").where("timeframe = '1m'"))
+    return gaps.groupBy(*SERIES, F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 NAMES = [
     ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
     ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts, tight_range_flags, climax_flags,
     signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
     setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
-    session_minute_gaps,
+    session_minute_gaps, ohlcv_minute_gaps,
 ]
 STAGES = [
     bar_features, bar_class_counts, ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts,

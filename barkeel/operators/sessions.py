@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barkeel.operators.blocks import SERIES
@@ -86,6 +86,12 @@ def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
     return missing.unionByName(extra)
 
 
+def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
+    missing = want.join(have, [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("missing").alias("kind"))
+    extra = have.join(want.select(*SERIES, "timestamp"), [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("extra").alias("kind"))
+    return missing.unionByName(extra)
+
+
 def minute_differences(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Minutes that lack a bar (missing) and bars outside the sessions (extra), per series."""
     series = bars.select(*SERIES).distinct()
@@ -120,18 +126,31 @@ def resample(bars: DataFrame, minutes: int, zone: str = ZONE) -> DataFrame:
     Two aggregations on (series, session[, bin]); the first one is tiny, and partial
     aggregation runs before either shuffle.
     """
+    return _binned(bars, F.array(F.lit(minutes)), zone).drop("source_timeframe")
+
+
+def resample_each(bars: DataFrame, targets: Sequence[int] = (5, 15, 30, 60), zone: str = ZONE) -> DataFrame:
+    """Every series of minute bars (1m, 5m, ...) to each target that its own length divides, with source_timeframe."""
+    source = F.regexp_extract("timeframe", r"^(\d+)m$", 1).try_cast("int")
+    fine = bars.withColumn("_source", source).where("_source > 0")
+    return _binned(fine, F.filter(F.array(*map(F.lit, targets)), lambda n: (n > F.col("_source")) & (n % F.col("_source") == 0)), zone)
+
+
+def _binned(bars: DataFrame, minutes: Column, zone: str) -> DataFrame:
     day = F.to_date(F.from_utc_timestamp("timestamp", zone))
     rows = bars.withColumn("session_date", day)
     origins = rows.groupBy(*SERIES, "session_date").agg(F.min("timestamp").alias("_origin"))
-    joined = rows.join(origins, [*SERIES, "session_date"])
-    number = F.floor((F.unix_micros("timestamp") - F.unix_micros("_origin")) / (minutes * 60_000_000)).cast("bigint")
-    at = F.timestamp_micros(F.unix_micros("_origin") + F.col("_bin") * (minutes * 60_000_000))
+    joined = rows.join(origins, [*SERIES, "session_date"]).withColumn("_minutes", F.explode(minutes))
+    width = F.col("_minutes").cast("bigint") * 60_000_000
+    number = F.floor((F.unix_micros("timestamp") - F.unix_micros("_origin")) / width).cast("bigint")
+    at = F.timestamp_micros(F.unix_micros("_origin") + F.col("_bin") * width)
     first = lambda c: F.min_by(c, F.struct("timestamp", c))
     final = lambda c: F.max_by(c, F.struct("timestamp", c))
-    binned = joined.withColumn("_bin", number).groupBy(*SERIES, "session_date", "_bin", "_origin").agg(
+    binned = joined.withColumn("_bin", number).groupBy(*SERIES, "session_date", "_minutes", "_bin", "_origin").agg(
         first("open").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), final("close").alias("close"), F.sum("volume").alias("volume")
     )
-    return binned.select("symbol", F.lit(f"{minutes}m").alias("timeframe"), at.alias("timestamp"), "open", "high", "low", "close", "volume", "session_date")
+    label = F.concat(F.col("_minutes").cast("string"), F.lit("m"))
+    return binned.select("symbol", F.col("timeframe").alias("source_timeframe"), label.alias("timeframe"), at.alias("timestamp"), "open", "high", "low", "close", "volume", "session_date")
 
 
 def tick_bars(ticks: DataFrame, symbol: str, ts: str, price: str, tie: str, every: str, timeframe: str) -> DataFrame:

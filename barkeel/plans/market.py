@@ -89,10 +89,17 @@ def ohlcv_dedupe_keep_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_resample(spark: SparkSession, d: str) -> DataFrame:
+    """The half-hour series to hours; all intraday series are in ohlcv_resample."""
     bars = sessions.resample(_clean(spark, d).where("timeframe = '30m'"), 60)
     return bars.select("symbol", "timeframe", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
 
 
+def ohlcv_resample(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered intraday series to each coarser timeframe, with the timeframe it came from."""
+    bars = sessions.resample_each(_clean(spark, d))
+    return bars.select("symbol", "source_timeframe", "timeframe", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", F.round("volume", 4).alias("volume"))
+
+
 def session_coverage(spark: SparkSession, d: str) -> DataFrame:
     """First and last bar, count and mean volume per series."""
     c = statistics.coverage(_clean(spark, d))
@@ -291,7 +298,7 @@ def ohlcv_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = [
-    ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
+    ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, ohlcv_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
     ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts, tight_range_flags, climax_flags,
     signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
     setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,

@@ -28,7 +28,7 @@ SCOPES = {
 
 
 def condition_columns(cfg: StatisticsConfig, entry_time: Column) -> dict[str, Column]:
-    """Buckets of a trade's conditions at entry."""
+    """Buckets of a trade's conditions at entry; the session of an unknown entry time is UNKNOWN."""
     long = F.col("direction") == "LONG"
     place = F.when(long, F.col("signal_close_location")).otherwise(1.0 - F.col("signal_close_location"))
     quality = (cfg.body_weight * F.col("signal_body_ratio") + cfg.close_weight * place) / (cfg.body_weight + cfg.close_weight)
@@ -40,11 +40,17 @@ def condition_columns(cfg: StatisticsConfig, entry_time: Column) -> dict[str, Co
     return {
         "signal_bar_quality": F.when(quality <= cfg.quality_weak, "WEAK").when(quality >= cfg.quality_strong, "STRONG").otherwise("ACCEPTABLE"),
         "ema_slope_bucket": F.when(slope < 0, "OPPOSING").when(slope <= cfg.slope_flat, "FLAT").when(slope >= cfg.slope_strong, "STRONG").otherwise("MODERATE"),
-        "session": F.when(minute < a, "PREMARKET").when(minute < b, "OPEN").when(minute < c, "MIDDAY").when(minute < d, "CLOSE").otherwise("AFTER_HOURS"),
+        "session": F.when(minute.isNull(), "UNKNOWN").when(minute < a, "PREMARKET").when(minute < b, "OPEN").when(minute < c, "MIDDAY").when(minute < d, "CLOSE").otherwise("AFTER_HOURS"),
         "volatility_regime": F.when(v <= cfg.volatility_low, "LOW").when(v >= cfg.volatility_high, "HIGH").otherwise("NORMAL"),
     }
 
 
+def latest(trades: DataFrame, order: str) -> DataFrame:
+    """The row with the largest ``order`` per trade_id; rows without a trade_id all stay."""
+    known = trades.where(F.col("trade_id").isNotNull()).groupBy("trade_id").agg(F.max_by(F.struct(*trades.columns), order).alias("_row")).select("_row.*")
+    return known.unionByName(trades.where(F.col("trade_id").isNull()))
+
+
 def completed(trades: DataFrame, strict: bool = False) -> DataFrame:
     """Trades with an exit and a result; with ``strict`` the others are an error, in one pass over the data."""
     done = F.col("exit_time").isNotNull() & F.col("exit_price").isNotNull() & F.col("pnl").isNotNull() & F.col("pnl_r").isNotNull()

@@ -18,6 +18,7 @@ from barkeel.config import ExecutionConfig, MarketConfig, Pipeline, SetupConfig,
 from barkeel.functions.bars import expected_value, label, risk_reward, slug
 from barkeel.operators import execution, features, patterns, sessions, setups, statistics, validate, views
 from barkeel.operators.blocks import SERIES, indexed
+from barkeel.operators.clock import read_clocks
 from barkeel.plans.market_sql import ORACLE
 from barkeel.plans.tables import table
 from barkeel.session import durable
@@ -209,15 +210,23 @@ def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, ke
     return _round(statistics.excursions(sim.where("status = 'FILLED'"), _spine(spark, d, bars)), "mfe", "mae")
 
 
+def _conditions(spark: SparkSession, d: str, trades: DataFrame) -> DataFrame:
+    """Completed trades with condition buckets, the session by the instant that the entry time's text denotes."""
+    log = table(spark, d, "trade_log")
+    clocks = read_clocks(table(spark, d, "ohlcv_raw").limit(0), log, table(spark, d, "feeds")).select(F.col("rec_id").alias("_id"), F.timestamp_micros("utc_us").alias("_entry"))
+    done = statistics.completed(trades)
+    timed = done.join(clocks, done["row_id"].cast("bigint") == clocks["_id"], "left")
+    return timed.withColumns(statistics.condition_columns(StatisticsConfig(), F.col("_entry"))).drop("_id", "_entry")
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    """Completed trades of the delivered log, with condition buckets; the exit time stands in for the text entry time."""
-    t = statistics.completed(table(spark, d, "trade_log"))
-    conditions = statistics.condition_columns(StatisticsConfig(), F.col("exit_time"))
-    return t.withColumns(conditions)
+    """The latest row of each delivered trade, if completed, with condition buckets."""
+    return _conditions(spark, d, statistics.latest(table(spark, d, "trade_log"), "row_id"))
 
 
 def trade_condition_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d).select("row_id", "signal_bar_quality", "ema_slope_bucket", "session", "volatility_regime")
+    """Buckets of every completed row, re-sent ones too."""
+    return _conditions(spark, d, table(spark, d, "trade_log")).select("row_id", "signal_bar_quality", "ema_slope_bucket", "session", "volatility_regime")
 
 
 def _mean(df: DataFrame, column: str, count: str) -> DataFrame:

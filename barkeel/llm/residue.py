@@ -5,7 +5,9 @@ identifiers and quoted stretches become wildcards) and go down a prefix tree of
 fixed depth: word count, then the first words.  In a leaf, messages that agree
 in most places form one template, whose differing places become wildcards; cue
 words are never wildcards.  Each template is classified once, and the verdict
-goes back to all its messages and from them to the documents.
+goes back to all its messages and from them to the documents.  A message whose
+template has no verdict is classified by its own words, so it loses none to the
+messages that share its leaf.
 
 Ordinary records are searched directly for slots that were never filled, values
 that never arrived and mashed keys, whose words vary too freely for a template;
@@ -245,8 +247,9 @@ def templates(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
             of, forms = mine(masked[s:e], rule)
             verdict = [classify(f) for f in forms]
             for i, k in enumerate(of):
-                if verdict[k]:
-                    rows.append(s + i), names.append(forms[k]), kinds.append(verdict[k])
+                own = verdict[k] or (classify(masked[s + i]) if masked[s + i] != forms[k] else None)
+                if own:
+                    rows.append(s + i), names.append(forms[k]), kinds.append(own)
         out = t.select(["key", "docs"]).take(pa.array(rows, pa.int64()))
         return out.append_column("template", pa.array(names, pa.string())).append_column("kind", pa.array(kinds, pa.string()))
 

@@ -62,7 +62,7 @@ def normalise(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text:
-        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else {"n": "\n", "r": "\n", "t": "\t"}.get(m[2], m[2]), text)
+        text = _ESCAPE.sub(lambda m: chr(int(m[1], 16)).replace(_SEPARATOR, " ") if m[1] else {"n": "\n", "r": "\n", "t": "\t"}.get(m[2], m[2]), text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", _SOFT_SPLIT.sub("", text)))
     if "<" in text:

@@ -9,7 +9,7 @@ from barkeel.llm.leaks import find_leaks
 from barkeel.llm.mixing import mix_sources
 from barkeel.llm.percentiles import latest_rows, merge_runs, percentiles_of_runs, percentiles_of_summaries, rank_summary, value_runs
 from barkeel.llm.pieces import split_items
-from barkeel.llm.residue import find_residue, scan, templates
+from barkeel.llm.residue import find_residue, judged, scan
 from barkeel.plans.tables import table
 from barkeel.session import durable
 
@@ -81,9 +81,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Mined templates with a verdict: kind, template, distinct messages, documents' messages."""
-    mined = templates(scan(table(spark, d, "documents")))
-    return mined.groupBy("kind", "template").agg(F.count(F.lit(1)).alias("n_messages"), F.sum("docs").alias("n_uses"))
+    """Mined templates with a verdict: what decided it, distinct messages, documents, and how many of these hold another seeded template."""
+    templates, _ = judged(durable(scan(table(spark, d, "documents"))))
+    return templates.select("kind", "why", "template", F.col("forms").alias("n_messages"), F.col("docs").alias("n_docs"), F.col("accompanied").alias("n_accompanied"))
 
 
 QUERIES = {f.__name__: f for f in (p5_percentiles, p5_combined_versions, p5_bounds, p6_found, p6_pieces, p8_found, p8_leak_report, p9_mix, p9_shares, p10_found, p10_templates)}

@@ -1,26 +1,37 @@
 """Template residue and error-page text (problem 10).
 
-Messages (lines and sentences) that hold a cue word are masked (numbers,
-identifiers and quoted stretches become wildcards) and go down a prefix tree of
-fixed depth: word count, then the first words.  In a leaf, messages that agree
-in most places form one template, whose differing places become wildcards; cue
-words are never wildcards.  Each template is classified once, and the verdict
-goes back to all its messages and from them to the documents.  A message whose
-template has no verdict is classified by its own words, so it loses none to the
-messages that share its leaf.
+Every line and sentence of every document is a message.  Messages are masked
+(numbers, identifiers and quoted stretches become wildcards) and counted over the
+whole corpus; those that more than one document has, or that hold a cue word, go
+down a prefix tree of fixed depth: word count, then the first words.  In a leaf,
+messages that agree in most places form one template, whose differing places
+become wildcards; cue words are never wildcards.  A message that only one document
+has and that holds no cue can get no verdict by the rules below, so it stays out.
+
+A template is judged once, by what the corpus says of it, and the verdict goes
+back to all its messages and from them to the documents:
+
+* seeded: a seed pattern fits the template, or the message where a wildcard took a
+  word away.  The patterns are short and general and know no corpus.
+* freed: a seeded template that people write in many wordings (many messages,
+  many word places that vary, a long sentence) is prose about a notice, not a
+  notice, and loses the verdict.
+* associated: a template without a seed that stands in enough documents, nearly
+  all of which hold seeded templates of several other kinds, is part of such
+  pages (their links, incident numbers, apologies) and gets the verdict; so pages
+  are found whose notice no pattern knows.
 
 Ordinary records are searched directly for slots that were never filled, values
-that never arrived and mashed keys, whose words vary too freely for a template;
-what stands in back quotes is quoted, not unfilled.
+that never arrived, and filler: runs of words without any function word in which
+the same words come again and again, as in mashed keys and pseudo-Latin.  What
+stands in back quotes is quoted, not unfilled.
 
-A verdict needs a cue word among a template's constant words, and constants are
-in every message of the template, so messages without a cue word are decided
-where they stand and only the others are shuffled.  Leaves are split further by
-a hash, so a frequent beginning does not gather in one task.
+Leaves are split further by a hash once they are large, so a frequent beginning
+does not gather in one task; equal templates of several splits are one template.
 
 Defined results: null and empty texts are no cases; whole texts are searched;
-repeated rows and ids are each judged and reported once per id; rows with a null
-id are ignored; an empty table gives an empty result; other columns are ignored.
+rows that share an id are one document; rows with a null id are ignored; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,28 +45,41 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barkeel.llm.lexicon import CUES, FILLER_WORDS, MASHED_KEYS, VERDICTS
+from barkeel.llm.lexicon import CUES, FUNCTION_WORDS, MASHED_KEYS, VERDICTS
 from barkeel.session import durable
 from barkeel.shards import sharded_map
 
 
 @dataclass(frozen=True)
 class TreeRule:
-    """Depth of the prefix tree in words, share of equal words that joins a template, leaf splits."""
+    """The tree (depth in words, share of equal words that joins a template, messages per leaf split) and the verdicts of its templates.
+
+    A seeded template is freed from ``free_forms`` messages on, if it has ``free_words``
+    words or more and at least ``free_share`` of them vary.  A template is associated
+    from ``support`` documents on, if ``company`` of them hold another seeded template
+    and these are of ``partners`` different kinds or more.
+    """
 
     depth: int = 3
     alike: float = 0.6
-    splits: int = 8
+    leaf: int = 1024
+    free_forms: int = 8
+    free_words: int = 10
+    free_share: float = 0.25
+    support: int = 4
+    company: float = 0.9
+    partners: int = 3
 
 
 WILD = "<*>"
 
 _SLOT = re.compile(
     r"\{\{\s*[\w .\-]+\s*\}\}"
-    r"|\{%[^%{}\n]{1,80}%\}"
-    r"|<%=?[^%<>\n]{1,80}%>"
+    r"|\{%[^%{}\n]+%\}"
+    r"|<%=?[^%<>\n]+%>"
     r"|[$#]\{\s*[\w. ]+\s*\}"
     r"|(?<![\w$#{])\{(?:[A-Za-z_]\w*|\d{1,2})\}(?!\})"
     r"|@@\w+@@"
@@ -65,23 +89,24 @@ _SLOT = re.compile(
     r"|\[\[\s*[\w ]+\s*\]\]"
     r"|<<\s*[\w ]+\s*>>"
     r"|\[[A-Z][A-Z_]{3,}\]"
-    r"|\[(?:your|insert|enter|add)\b[^\[\]\n]{1,60}\]"
-    r"|<(?:insert|your|enter|add)\s[^<>\n]{1,60}>"
-    r"|\b(?:TODO|TBD|FIXME)(?:\([^()\n]{0,60}\)|\s?[:\-–—])"
-    r"|\bXX [A-Z_ ]{3,40} XX\b"
+    r"|\[(?:your|insert|enter|add)\b[^\[\]\n]+\]"
+    r"|<(?:insert|your|enter|add)\s[^<>\n]+>"
+    r"|\b(?:TODO|TBD|FIXME)(?:\([^()\n]*\)|\s?[:\-–—])"
+    r"|\bXX [A-Z_ ]{3,} XX\b"
 )
 _SLOT_SIGNS = ("{", "<", "[", "@@", "%", "__", "TODO", "TBD", "FIXME", "XX ")
 _QUOTED_CODE = re.compile(r"`[^`\n]*`")
 _MISSING = re.compile(r"(?<![\w`'\"])(?:None|null|nan|NaN|undefined|N/A%N/A|\[object Object\])(?=R?(?![\w`'\"]))")
 _MISSING_SIGNS = ("None", "null", "nan", "NaN", "undefined", "N/A%N/A", "[object Object]")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?…])[ \t]+")
+_NOTE = re.compile(r"^(\[[^\[\]]*\]|\([^()]*\)|<!--.*?-->)[ \t]+(?=\S)")
 _LEAD = re.compile(r"^(?:[-*•>]\s+|(?:q|a)\s*:\s+|\d+[.)]\s+|question \d+:\s+)+", re.I)
-_MASKS = [
-    (re.compile(r"\"[^\"\n]{0,200}\"|(?<!\w)'[^'\n]{0,80}'(?!\w)"), WILD),
-    (re.compile(r"(?<!\w)(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{4,}(?!\w)"), WILD),
-    (re.compile(r"\d+(?:[.,:]\d+)*"), WILD),
-    (re.compile(r"(?<!\w)[a-z]+(?:_[a-z]+)+(?!\w)"), WILD),
-]
+_QUOTE = re.compile(r"\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)")
+_HEX = re.compile(r"(?<!\w)(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{4,}(?!\w)")
+_NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
+_NAME = re.compile(r"(?<!\w)[a-z]+(?:_[a-z]+)+(?!\w)")
+_RECORD_VALUE = re.compile(r"(\"[^\"]*\"\s*:)\s*(\"[^\"]*\"|[^,{}\[\]]+)")
+_WORD = re.compile(r"(?!\d+\b)[^\W_]{2,}")
 
 
 @lru_cache(maxsize=1)
@@ -115,47 +140,84 @@ def unfilled(text: str) -> bool:
     return missing and any(len(_MISSING.findall(s)) > 1 for s in _SENTENCE.split(plain))
 
 
-def mashed(text: str) -> bool:
-    """A run of keyboard mash or of pseudo-Latin filler words."""
-    words = re.findall(r"[^\W_]+", text.lower())
-    for known, least in ((MASHED_KEYS, 5), (FILLER_WORDS, 4)):
-        if len(words) >= least and sum(w in known for w in words) >= 0.7 * len(words):
+def filler(text: str) -> bool:
+    """A run of words without function words in which words come again and again, or a line of mashed keys.
+
+    A run has six words or more.  Seven in ten of its words at most are different
+    inside one sentence; over several sentences, which may begin alike, it has 16
+    words or more and three in five at most are different.
+    """
+    for line in text.lower().split("\n"):
+        words = line.split()
+        if len(words) < 4:
+            continue
+        marks = [-1, *(i for i, w in enumerate(words) if w in FUNCTION_WORDS), len(words)]
+        for a, b in zip(marks, marks[1:]):
+            if b - a > 6 and any(_repeats(r) for r in _runs(words[a + 1 : b])):
+                return True
+        if words[0] in MASHED_KEYS and sum(w in MASHED_KEYS for w in words) >= 0.7 * len(words):
             return True
     return False
 
 
+def _runs(words: list[str]) -> Iterator[tuple[list[str], bool]]:
+    """Runs without a function word, and whether a run is of one sentence."""
+    whole: list[str] = []
+    part: list[str] = []
+    for w in words:
+        for x in _WORD.findall(w):
+            if x in FUNCTION_WORDS:
+                yield whole, False
+                yield part, True
+                whole, part = [], []
+            else:
+                whole.append(x), part.append(x)
+        if w[-1] in ".!?…":
+            yield part, True
+            part = []
+    yield whole, False
+    yield part, True
+
+
+def _repeats(run: tuple[list[str], bool]) -> bool:
+    words, one = run
+    n, different = len(words), len(set(words))
+    return (n >= 6 and different <= 0.7 * n) if one else (n >= 16 and different <= 0.6 * n)
+
+
 def mask(message: str) -> str:
     """A message in lower case with its variable parts as wildcards."""
-    out = _LEAD.sub("", message.strip()).lower()
+    out = message.strip().lower()
+    if not out[:1].isalpha() or ":" in out:
+        out = _LEAD.sub("", out)
     if out.startswith("{") and out.endswith("}"):  # a whole record: its keys are what is constant
-        out = re.sub(r"(\"[^\"]*\"\s*:)\s*(\"[^\"]*\"|[^,{}\[\]]+)", r"\1 " + WILD, out)
-        return " ".join(out.split())
-    for pattern, by in _MASKS:
-        out = pattern.sub(by, out)
+        return " ".join(_RECORD_VALUE.sub(r"\1 " + WILD, out).split())
+    if '"' in out or "'" in out:
+        out = _QUOTE.sub(WILD, out)
+    if any(c in out for c in "0123456789"):
+        out = _NUMBER.sub(WILD, _HEX.sub(WILD, out))
+    if "_" in out:
+        out = _NAME.sub(WILD, out)
     return " ".join(out.split())
 
 
-def messages(text: str) -> tuple[list[str], bool]:
-    """The masked messages of a text that hold a cue word, each once; whether any text is mashed."""
-    found, typed = {}, False
+def messages(text: str) -> dict[str, bool]:
+    """The masked messages of a text, each once, and whether they hold a cue word; a note in brackets is a message of its own."""
+    found: dict[str, bool] = {}
     for part in _SENTENCE.split(text):
-        low = part.lower()
-        if low.strip() in ("...", "…"):
-            found["..."] = None
-        elif has_cue(low):
-            if mashed(low):
-                typed = True
-                continue
-            m = mask(part)
-            if m:
-                found[m] = None
-    return list(found), typed
+        part = part.strip()
+        while part:
+            note = _NOTE.match(part) if part[0] in "[(<" else None
+            one, part = (note[1], part[note.end() :]) if note else (part, "")
+            low = "..." if one in ("...", "…") else mask(one)
+            if low and low not in found:
+                found[low] = low == "..." or has_cue(one.lower())
+    return found
 
 
-def leaf(words: list[str], key: int, rule: TreeRule) -> int:
-    """The leaf of a message: its word count, first words, and a split."""
-    path = "\x1f".join([str(len(words)), *words[: rule.depth], str(key % rule.splits)])
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+def leaf(words: list[str], rule: TreeRule) -> int:
+    """The leaf of a message: its word count and first words."""
+    return xxhash.xxh64_intdigest("\x1f".join([str(len(words)), *words[: rule.depth]])) - (1 << 63)
 
 
 @lru_cache(maxsize=1)
@@ -164,7 +226,7 @@ def _verdicts() -> list[tuple[str, re.Pattern]]:
 
 
 def classify(template: str) -> str | None:
-    """The kind of residue that a template is, or None for ordinary text."""
+    """The kind of residue whose seed pattern fits, or None."""
     for kind, pattern in _verdicts():
         if pattern.search(template):
             return kind
@@ -183,85 +245,118 @@ def constants(message: str) -> list[bool]:
     return out
 
 
-def mine(masked: list[str], rule: TreeRule) -> tuple[list[int], list[str]]:
-    """Template number per message of one leaf, and the templates; messages come in sorted order."""
-    templates: list[list[str]] = []
-    fixed: list[list[bool]] = []
-    out = []
-    for m in masked:
-        words, held = m.split(" "), constants(m)
-        best, at = -1.0, -1
-        for i, t in enumerate(templates):
-            if len(t) != len(words):
-                continue
-            equal = sum(a == b for a, b in zip(t, words))
-            if equal < rule.alike * len(words) or equal / len(words) <= best:
-                continue
-            if any(a != b and (f or h) for a, b, f, h in zip(t, words, fixed[i], held)):
-                continue
-            best, at = equal / len(words), i
-        if at < 0:
-            templates.append(words)
-            fixed.append(held)
-            at = len(templates) - 1
-        elif best < 1:
-            templates[at] = [a if a == b else WILD for a, b in zip(templates[at], words)]
-        out.append(at)
-    return out, [" ".join(t) for t in templates]
+def mine(masked: list[str], rule: TreeRule) -> tuple[list[int], list[str], list[int]]:
+    """Template number per message of one leaf, the templates, and how many of their word places vary; messages come in sorted order.
+
+    All messages of a leaf have the same number of words, so templates are rows of a
+    matrix of word numbers and a message is compared with all of them at once.
+    """
+    numbers: dict[str, int] = {}
+    split = [m.split(" ") for m in masked]
+    width = len(split[0]) if split else 0
+    coded = np.array([[numbers.setdefault(w, len(numbers)) for w in ws] for ws in split], dtype=np.int64).reshape(len(split), width)
+    held = np.array([constants(m) for m in masked], dtype=bool).reshape(len(split), width)
+    rows, fixed = np.zeros((16, width), dtype=np.int64), np.zeros((16, width), dtype=bool)
+    n, out = 0, []
+    for i in range(len(split)):
+        same = rows[:n] == coded[i]
+        equal = same.sum(axis=1)
+        barred = (~same & (fixed[:n] | held[i])).any(axis=1)
+        equal = np.where(barred, -1, equal)
+        best = int(equal.argmax()) if n else -1
+        if n and equal[best] >= rule.alike * width:
+            rows[best][~same[best]] = -1
+        else:
+            if n == len(rows):
+                rows, fixed = np.concatenate([rows, np.zeros_like(rows)]), np.concatenate([fixed, np.zeros_like(fixed)])
+            rows[n], fixed[n] = coded[i], held[i]
+            best, n = n, n + 1
+        out.append(best)
+    first: dict[int, int] = {}
+    for i, k in enumerate(out):
+        first.setdefault(k, i)
+    forms = [" ".join(WILD if c < 0 else w for c, w in zip(rows[k], split[first[k]])) for k in range(n)]
+    return out, forms, (rows[:n] < 0).sum(axis=1).tolist()
+
+
+_MESSAGE = pa.list_(pa.struct([("key", pa.int64()), ("leaf", pa.int64()), ("cue", pa.bool_()), ("masked", pa.string())]))
 
 
 def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
-    """doc_id, unfilled, msgs (leaf, key, masked) of documents that have either."""
+    """doc_id, direct (a slot or filler), msgs (key, leaf, cue, masked) of every document with text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    msg = pa.list_(pa.struct([("leaf", pa.int64()), ("key", pa.int64()), ("masked", pa.string())]))
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, direct, found = [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                open_slot = unfilled(t)
-                low = t.lower()
-                kept, typed = messages(t) if has_cue(low) or "..." in t or "…" in t else ([], False)
-                if not (open_slot or typed or kept):
-                    continue
-                packed = []
-                for m in kept:
-                    key = xxhash.xxh64_intdigest(m) - (1 << 63)
-                    packed.append({"leaf": leaf(m.split(" "), key, rule), "key": key, "masked": m})
-                at.append(i), direct.append(open_slot or typed), found.append(packed)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(direct, pa.bool_()), pa.array(found, msg)], names=["doc_id", "unfilled", "msgs"])
-
-    return rows.mapInArrow(work, f"doc_id {kind}, unfilled boolean, msgs array<struct<leaf:bigint,key:bigint,masked:string>>")
-
-
-def templates(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
-    """key, template, kind of every distinct message that has a verdict, with its count of documents."""
-    flat = scanned.select(F.explode("msgs").alias("m")).select("m.leaf", "m.key", "m.masked")
-    counted = flat.groupBy("leaf", "key", "masked").agg(F.count(F.lit(1)).alias("docs"))
+            direct, sizes, masked, cues = [], [0], [], []
+            for t in b.column("text").to_pylist():
+                direct.append(unfilled(t) or filler(t))
+                found = messages(t)
+                masked += found.keys()
+                cues += found.values()
+                sizes.append(len(masked))
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(m) for m in masked), dtype=np.uint64, count=len(masked)).view(np.int64)
+            leaves = pa.array([leaf(m.split(" "), rule) for m in masked], pa.int64())
+            flat = pa.StructArray.from_arrays([pa.array(keys), leaves, pa.array(cues, pa.bool_()), pa.array(masked, pa.string())], names=["key", "leaf", "cue", "masked"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(direct, pa.bool_()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["doc_id", "direct", "msgs"])
+
+    return rows.mapInArrow(work, f"doc_id {kind}, direct boolean, msgs array<struct<key:bigint,leaf:bigint,cue:boolean,masked:string>>")
+
+
+def mined(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
+    """key, template, tid, varying, words, seed (kind or null) of all messages in the tree."""
+    said = scanned.select(F.explode("msgs").alias("m"))
+    counted = said.groupBy(F.col("m.key").alias("key")).agg(F.count(F.lit(1)).alias("docs"), F.bool_or("m.cue").alias("cue")).where("docs > 1 or cue").select("key")
+    inside = said.select("m.key", "m.leaf", "m.masked").join(counted, "key").dropDuplicates(["key"])
+    inside = durable(inside)
+    sizes = inside.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.leaf)
+    split = F.pmod(F.col("key"), F.ceil(F.coalesce("n", F.lit(1)) / rule.leaf))
+    parted = inside.join(sizes, "leaf", "left").select("leaf", split.alias("split"), "key", "masked")
 
     def kernel(t: pa.Table, starts: np.ndarray) -> pa.Table:
         masked = t.column("masked").to_pylist()
-        rows, names, kinds = [], [], []
+        names, varying, seeds = [], [], []
         for s, e in zip(starts, [*starts[1:], t.num_rows]):
-            of, forms = mine(masked[s:e], rule)
-            verdict = [classify(f) for f in forms]
+            of, forms, varies = mine(masked[s:e], rule)
+            seed = [classify(f) for f in forms]
             for i, k in enumerate(of):
-                own = verdict[k] or (classify(masked[s + i]) if masked[s + i] != forms[k] else None)
-                if own:
-                    rows.append(s + i), names.append(forms[k]), kinds.append(own)
-        out = t.select(["key", "docs"]).take(pa.array(rows, pa.int64()))
-        return out.append_column("template", pa.array(names, pa.string())).append_column("kind", pa.array(kinds, pa.string()))
+                names.append(forms[k]), varying.append(varies[k])
+                seeds.append(seed[k] or (classify(masked[s + i]) if varies[k] else None))
+        out = t.select(["key"]).append_column("template", pa.array(names, pa.string())).append_column("varying", pa.array(varying, pa.int32()))
+        return out.append_column("seed", pa.array(seeds, pa.string()))
+
+    found = sharded_map(parted, ["leaf", "split"], ["masked"], kernel, "key bigint, template string, varying int, seed string")
+    return found.withColumns({"tid": F.xxhash64("template"), "words": F.size(F.split("template", " "))})
+
+
+def freed(rule: TreeRule) -> F.Column:
+    """Whether a template's own statistics say prose; over rows of templates with forms, words and varying."""
+    return (F.col("forms") >= rule.free_forms) & (F.col("words") >= rule.free_words) & (F.col("varying") >= rule.free_share * F.col("words"))
+
 
-    return sharded_map(counted, ["leaf"], ["masked"], kernel, "key bigint, docs bigint, template string, kind string")
+def judged(scanned: DataFrame, rule: TreeRule = TreeRule()) -> tuple[DataFrame, DataFrame]:
+    """Templates with their statistics and verdict (kind, seeded or associated), and (doc_id, tid, seed) of the messages said."""
+    tree = durable(mined(scanned, rule))
+    forms = tree.groupBy("tid").agg(F.count(F.lit(1)).alias("forms"), F.max("varying").alias("varying"), F.max("words").alias("words"), F.min("template").alias("template"))
+    prose = forms.where(freed(rule)).select("tid", F.lit(True).alias("_prose"))
+    by_key = tree.select("key", "tid", "seed").join(prose, "tid", "left").select("key", "tid", F.when(F.col("_prose").isNull(), F.col("seed")).alias("seed"))
+    pairs = scanned.select("doc_id", F.explode("msgs.key").alias("key")).join(by_key, "key").repartition("doc_id").groupBy("doc_id", "tid").agg(F.max("seed").alias("seed"))
+    pairs = durable(pairs)
+    # a seeded template of a document, as the company of its other templates; whole documents are in one window
+    doc = W.partitionBy("doc_id")
+    company = pairs.withColumn("_with", F.min(F.when(F.col("seed").isNotNull(), F.col("tid"))).over(doc))
+    stats = company.groupBy("tid").agg(F.count(F.lit(1)).alias("docs"), F.count("_with").alias("accompanied"), F.count_distinct("_with").alias("partners"), F.max("seed").alias("kind"))
+    near = (F.col("docs") >= rule.support) & (F.col("accompanied") >= rule.company * F.col("docs")) & (F.col("partners") >= rule.partners)
+    why = F.when(F.col("kind").isNotNull(), "seeded").when(near, "associated")
+    return stats.withColumn("why", why).where("why is not null").join(forms, "tid").withColumn("kind", F.coalesce("kind", F.lit("page"))), pairs
 
 
 def find_residue(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
-    """doc_id, unfilled, kinds (sorted) of every document with residue."""
+    """doc_id, direct, kinds (sorted) of every document with residue."""
     scanned = durable(scan(docs, rule))
-    verdicts = templates(scanned, rule).select("key", "kind").distinct()
-    said = scanned.select("doc_id", F.explode("msgs").alias("m")).select("doc_id", F.col("m.key").alias("key"))
-    by_message = said.join(verdicts, "key").select("doc_id", F.lit(False).alias("unfilled"), "kind")
-    direct = scanned.where("unfilled").select("doc_id", "unfilled", F.lit("slot").alias("kind"))
-    both = by_message.unionByName(direct)
-    return both.groupBy("doc_id").agg(F.max("unfilled").alias("unfilled"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    templates, pairs = judged(scanned, rule)
+    said = pairs.join(templates.select("tid", F.when(F.col("why") == "associated", "page").alias("_page")), "tid")
+    by_message = said.select("doc_id", F.lit(False).alias("direct"), F.coalesce("seed", "_page").alias("kind")).where("kind is not null")
+    alone = scanned.where("direct").select("doc_id", "direct", F.lit("slot").alias("kind"))
+    return by_message.unionByName(alone).groupBy("doc_id").agg(F.max("direct").alias("direct"), F.array_sort(F.collect_set("kind")).alias("kinds"))

@@ -153,7 +153,7 @@ FINE = [
 
 
 def test_residue(spark):
-    rows = [(i, t, "c") for i, t in enumerate(RESIDUE)] + [(100 + i, t, "c") for i, t in enumerate(FINE)] + [(200, None, "c"), (None, RESIDUE[0], "c"), (0, RESIDUE[0], "c"), (300, ("plain words " * 50000) + RESIDUE[10], "c"), (301, ("plain words. " * 50000) + RESIDUE[10], "c")]
+    rows = [(i, t, "c") for i, t in enumerate(RESIDUE)] + [(100 + i, t, "c") for i, t in enumerate(FINE)] + [(200, None, "c"), (None, RESIDUE[0], "c"), (0, RESIDUE[0], "c"), (300, ("plain words of the day " * 20000) + RESIDUE[10], "c"), (301, ("plain words of the day. " * 20000) + RESIDUE[10], "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kinds string")
     got = {r.doc_id for r in find_residue(df).collect()}
     assert got == set(range(len(RESIDUE))) | {301}
@@ -162,7 +162,7 @@ def test_residue(spark):
 
 def test_templates_keep_cue_words():
     masked = sorted({mask(f"Error {n} | {w}") for n in (404, 502) for w in ("Bad Gateway", "Not Found")})
-    of, forms = mine(masked, TreeRule())
+    _, forms, _ = mine(masked, TreeRule())
     assert sorted(forms) == ["error <*> | bad gateway", "error <*> | not found"]
     masked = sorted(mask(f"Could not load chart {w} for you") for w in ("one", "two", "three"))
     assert mine(masked, TreeRule())[1] == ["could not load chart <*> for you"]

@@ -33,14 +33,14 @@ PROSE = ["The bar closed near its high.", "Volume was thin at noon.", "We waited
 
 def test_pages_are_known_by_their_company(spark):
     rng = random.Random(1)
-    known = [f"{NOTICES[i % 4]}\nReturn to the front desk\nTicket {rng.randrange(10**6)}" for i in range(12)]
+    known = [f"{NOTICES[i % 4]}\nReturn to the front desk\nTicket {rng.randrange(10**6)}" for i in range(24)]
     unknown = ["We mislaid this sheet.\nReturn to the front desk\nTicket 77", "Our shelves are being dusted.\nTicket 5"]
     fine = [f"{rng.choice(PROSE)} {rng.choice(PROSE)}" for _ in range(30)] + ["Return to the shop on Monday."]
     texts = known + unknown + fine
     assert not any(classify(m.lower()) for m in ("We mislaid this sheet.", "Return to the front desk", "ticket <*>"))
     df = frame(spark, texts)
-    assert {r.doc_id for r in find_residue(df).collect()} == set(range(14))
-    assert {r.doc_id for r in find_residue(df, TreeRule(support=1000)).collect()} == set(range(12))
+    assert {r.doc_id for r in find_residue(df).collect()} == set(range(26))
+    assert {r.doc_id for r in find_residue(df, TreeRule(support=1000)).collect()} == set(range(24))
     templates = {r.template: r.why for r in judged(durable(scan(df)))[0].collect()}
     assert templates["return to the front desk"] == templates["ticket <*>"] == "associated" and templates["access denied."] == "seeded"
 

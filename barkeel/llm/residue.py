@@ -98,7 +98,8 @@ _SLOT_SIGNS = ("{", "<", "[", "@@", "%", "__", "TODO", "TBD", "FIXME", "XX ")
 _QUOTED_CODE = re.compile(r"`[^`\n]*`")
 _MISSING = re.compile(r"(?<![\w`'\"])(?:None|null|nan|NaN|undefined|N/A%N/A|\[object Object\])(?=R?(?![\w`'\"]))")
 _MISSING_SIGNS = ("None", "null", "nan", "NaN", "undefined", "N/A%N/A", "[object Object]")
-_SENTENCE = re.compile(r"\n+|(?<=[.!?…])[ \t]+")
+_SENTENCE = re.compile(r"(?<=[.!?…])[ \t]+")
+_LINE_OR_SENTENCE = re.compile(r"\n+|(?<=[.!?…])[ \t]+")
 _NOTE = re.compile(r"^(\[[^\[\]]*\]|\([^()]*\)|<!--.*?-->)[ \t]+(?=\S)")
 _LEAD = re.compile(r"^(?:[-*•>]\s+|(?:q|a)\s*:\s+|\d+[.)]\s+|question \d+:\s+)+", re.I)
 _QUOTE = re.compile(r"\"[^\"\n]*\"|(?<!\w)'[^'\n]*'(?!\w)")
@@ -106,6 +107,8 @@ _HEX = re.compile(r"(?<!\w)(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{4,}(?!\w)")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
 _NAME = re.compile(r"(?<!\w)[a-z]+(?:_[a-z]+)+(?!\w)")
 _RECORD_VALUE = re.compile(r"(\"[^\"]*\"\s*:)\s*(\"[^\"]*\"|[^,{}\[\]]+)")
+_DIGIT = re.compile(r"\d")
+_FUNCTION = frozenset(FUNCTION_WORDS)
 _WORD = re.compile(r"(?!\d+\b)[^\W_]{2,}")
 
 
@@ -137,87 +140,67 @@ def unfilled(text: str) -> bool:
     plain = _QUOTED_CODE.sub(" ", text) if "`" in text else text
     if slots and _SLOT.search(plain):
         return True
-    return missing and any(len(_MISSING.findall(s)) > 1 for s in _SENTENCE.split(plain))
+    return missing and any(len(_MISSING.findall(s)) > 1 for s in _LINE_OR_SENTENCE.split(plain))
 
 
-def filler(text: str) -> bool:
-    """A run of words without function words in which words come again and again, or a line of mashed keys.
+def filler(line: list[str]) -> bool:
+    """Whether sentences of one line are filler: no function word in them, and words that come again and again.
 
-    A run has six words or more.  Seven in ten of its words at most are different
-    inside one sentence; over several sentences, which may begin alike, it has 16
-    words or more and three in five at most are different.
+    One sentence has six such words or more, seven in ten of which at most are
+    different; several in a row, which may begin alike, have 16 or more, and three
+    in five at most are different.  A sentence of mashed keys may have four words.
     """
-    for line in text.lower().split("\n"):
-        words = line.split()
-        if len(words) < 4:
+    run: list[str] = []
+    for sentence in line:
+        if not _FUNCTION.isdisjoint(sentence.split()):
+            run = []
             continue
-        marks = [-1, *(i for i, w in enumerate(words) if w in FUNCTION_WORDS), len(words)]
-        for a, b in zip(marks, marks[1:]):
-            if b - a > 6 and any(_repeats(r) for r in _runs(words[a + 1 : b])):
-                return True
-        if words[0] in MASHED_KEYS and sum(w in MASHED_KEYS for w in words) >= 0.7 * len(words):
+        words = _WORD.findall(sentence)
+        run += words
+        n, different = len(words), len(set(words))
+        if n >= 6 and different <= 0.7 * n or len(run) >= 16 and len(set(run)) <= 0.6 * len(run):
+            return True
+        if n >= 4 and sum(w in MASHED_KEYS for w in words) >= 0.7 * n:
             return True
     return False
 
 
-def _runs(words: list[str]) -> Iterator[tuple[list[str], bool]]:
-    """Runs without a function word, and whether a run is of one sentence."""
-    whole: list[str] = []
-    part: list[str] = []
-    for w in words:
-        for x in _WORD.findall(w):
-            if x in FUNCTION_WORDS:
-                yield whole, False
-                yield part, True
-                whole, part = [], []
-            else:
-                whole.append(x), part.append(x)
-        if w[-1] in ".!?…":
-            yield part, True
-            part = []
-    yield whole, False
-    yield part, True
-
-
-def _repeats(run: tuple[list[str], bool]) -> bool:
-    words, one = run
-    n, different = len(words), len(set(words))
-    return (n >= 6 and different <= 0.7 * n) if one else (n >= 16 and different <= 0.6 * n)
-
-
 def mask(message: str) -> str:
-    """A message in lower case with its variable parts as wildcards."""
-    out = message.strip().lower()
+    """A lower-case message with its variable parts as wildcards."""
+    out = message.strip()
     if not out[:1].isalpha() or ":" in out:
         out = _LEAD.sub("", out)
     if out.startswith("{") and out.endswith("}"):  # a whole record: its keys are what is constant
         return " ".join(_RECORD_VALUE.sub(r"\1 " + WILD, out).split())
     if '"' in out or "'" in out:
         out = _QUOTE.sub(WILD, out)
-    if any(c in out for c in "0123456789"):
+    if _DIGIT.search(out):
         out = _NUMBER.sub(WILD, _HEX.sub(WILD, out))
     if "_" in out:
         out = _NAME.sub(WILD, out)
-    return " ".join(out.split())
+    return " ".join(out.split()) if "  " in out or not out.isascii() or "\t" in out else out
 
 
-def messages(text: str) -> dict[str, bool]:
-    """The masked messages of a text, each once, and whether they hold a cue word; a note in brackets is a message of its own."""
-    found: dict[str, bool] = {}
-    for part in _SENTENCE.split(text):
-        part = part.strip()
-        while part:
-            note = _NOTE.match(part) if part[0] in "[(<" else None
-            one, part = (note[1], part[note.end() :]) if note else (part, "")
-            low = "..." if one in ("...", "…") else mask(one)
-            if low and low not in found:
-                found[low] = low == "..." or has_cue(one.lower())
-    return found
+def messages(text: str) -> tuple[dict[str, bool], bool]:
+    """The masked messages of a text, each once, with whether they hold a cue word; and whether the text holds filler.
 
-
-def leaf(words: list[str], rule: TreeRule) -> int:
-    """The leaf of a message: its word count and first words."""
-    return xxhash.xxh64_intdigest("\x1f".join([str(len(words)), *words[: rule.depth]])) - (1 << 63)
+    Messages are sentences and lines; a note in brackets at a sentence's beginning is a message of its own.
+    """
+    found: dict[str, bool] = {}
+    typed = False
+    for line in text.split("\n"):
+        low = line.lower()
+        sentences = _SENTENCE.split(low)
+        typed = typed or filler(sentences)
+        for part in sentences:
+            part = part.strip()
+            while part:
+                note = _NOTE.match(part) if part[0] in "[(<" else None
+                one, part = (note[1], part[note.end() :]) if note else (part, "")
+                m = "..." if one in ("...", "…") else mask(one)
+                if m and m not in found:
+                    found[m] = m == "..." or has_cue(m) or (WILD in m and has_cue(one))
+    return found, typed
 
 
 @lru_cache(maxsize=1)
@@ -279,11 +262,8 @@ def mine(masked: list[str], rule: TreeRule) -> tuple[list[int], list[str], list[
     return out, forms, (rows[:n] < 0).sum(axis=1).tolist()
 
 
-_MESSAGE = pa.list_(pa.struct([("key", pa.int64()), ("leaf", pa.int64()), ("cue", pa.bool_()), ("masked", pa.string())]))
-
-
-def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
-    """doc_id, direct (a slot or filler), msgs (key, leaf, cue, masked) of every document with text."""
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, direct (a slot or filler), msgs (key, cue, masked) of every document with text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"))
 
@@ -291,25 +271,26 @@ def scan(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
         for b in batches:
             direct, sizes, masked, cues = [], [0], [], []
             for t in b.column("text").to_pylist():
-                direct.append(unfilled(t) or filler(t))
-                found = messages(t)
+                found, typed = messages(t)
+                direct.append(typed or unfilled(t))
                 masked += found.keys()
                 cues += found.values()
                 sizes.append(len(masked))
             keys = np.fromiter((xxhash.xxh3_64_intdigest(m) for m in masked), dtype=np.uint64, count=len(masked)).view(np.int64)
-            leaves = pa.array([leaf(m.split(" "), rule) for m in masked], pa.int64())
-            flat = pa.StructArray.from_arrays([pa.array(keys), leaves, pa.array(cues, pa.bool_()), pa.array(masked, pa.string())], names=["key", "leaf", "cue", "masked"])
+            flat = pa.StructArray.from_arrays([pa.array(keys), pa.array(cues, pa.bool_()), pa.array(masked, pa.string())], names=["key", "cue", "masked"])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(direct, pa.bool_()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["doc_id", "direct", "msgs"])
 
-    return rows.mapInArrow(work, f"doc_id {kind}, direct boolean, msgs array<struct<key:bigint,leaf:bigint,cue:boolean,masked:string>>")
+    return rows.mapInArrow(work, f"doc_id {kind}, direct boolean, msgs array<struct<key:bigint,cue:boolean,masked:string>>")
 
 
 def mined(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
     """key, template, tid, varying, words, seed (kind or null) of all messages in the tree."""
     said = scanned.select(F.explode("msgs").alias("m"))
     counted = said.groupBy(F.col("m.key").alias("key")).agg(F.count(F.lit(1)).alias("docs"), F.bool_or("m.cue").alias("cue")).where("docs > 1 or cue").select("key")
-    inside = said.select("m.key", "m.leaf", "m.masked").join(counted, "key").dropDuplicates(["key"])
-    inside = durable(inside)
+    # written first, so that its size is known: while it is small, no message text is shuffled for the join
+    inside = said.select("m.key", "m.masked").join(durable(counted), "key").dropDuplicates(["key"])
+    ws = F.split("masked", " ")
+    inside = durable(inside.withColumn("leaf", F.xxhash64(F.size(ws), F.slice(ws, 1, rule.depth))))
     sizes = inside.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.leaf)
     split = F.pmod(F.col("key"), F.ceil(F.coalesce("n", F.lit(1)) / rule.leaf))
     parted = inside.join(sizes, "leaf", "left").select("leaf", split.alias("split"), "key", "masked")
@@ -340,7 +321,7 @@ def judged(scanned: DataFrame, rule: TreeRule = TreeRule()) -> tuple[DataFrame,
     tree = durable(mined(scanned, rule))
     forms = tree.groupBy("tid").agg(F.count(F.lit(1)).alias("forms"), F.max("varying").alias("varying"), F.max("words").alias("words"), F.min("template").alias("template"))
     prose = forms.where(freed(rule)).select("tid", F.lit(True).alias("_prose"))
-    by_key = tree.select("key", "tid", "seed").join(prose, "tid", "left").select("key", "tid", F.when(F.col("_prose").isNull(), F.col("seed")).alias("seed"))
+    by_key = durable(tree.select("key", "tid", "seed").join(prose, "tid", "left").select("key", "tid", F.when(F.col("_prose").isNull(), F.col("seed")).alias("seed")))
     pairs = scanned.select("doc_id", F.explode("msgs.key").alias("key")).join(by_key, "key").repartition("doc_id").groupBy("doc_id", "tid").agg(F.max("seed").alias("seed"))
     pairs = durable(pairs)
     # a seeded template of a document, as the company of its other templates; whole documents are in one window
@@ -354,7 +335,7 @@ def judged(scanned: DataFrame, rule: TreeRule = TreeRule()) -> tuple[DataFrame,
 
 def find_residue(docs: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
     """doc_id, direct, kinds (sorted) of every document with residue."""
-    scanned = durable(scan(docs, rule))
+    scanned = durable(scan(docs))
     templates, pairs = judged(scanned, rule)
     said = pairs.join(templates.select("tid", F.when(F.col("why") == "associated", "page").alias("_page")), "tid")
     by_message = said.select("doc_id", F.lit(False).alias("direct"), F.coalesce("seed", "_page").alias("kind")).where("kind is not null")

@@ -2,7 +2,7 @@
 
 import random
 
-from barkeel.llm.residue import TreeRule, classify, durable, filler, find_residue, judged, mine, scan
+from barkeel.llm.residue import TreeRule, classify, durable, find_residue, judged, messages, mine, scan
 
 STEMS = ["Sign in to {}.", "Use this space to {}.", "Too many requests from your {}.", "Insert your {}.", "Enable javascript to open this {}."]
 WORDS = {"Insert your {}.": ["title", "image", "quote", "name", "caption", "body", "date", "chart", "text"], "Enable javascript to open this {}.": ["site", "page", "app", "dashboard"]}
@@ -18,9 +18,7 @@ def test_variants_keep_the_verdict(spark):
 
 
 def find_alone(text):
-    from barkeel.llm.residue import classify, messages
-
-    return any(classify(m) for m in messages(text))
+    return any(classify(m) for m in messages(text)[0])
 
 
 def frame(spark, texts):
@@ -62,6 +60,7 @@ def test_prose_in_many_wordings_is_freed(spark):
 
 def test_filler_needs_no_list():
     latin = "Quadrum modus velora manet. Alveus perenna modus velora. Manet quadrum velora modus alveus. Perenna modus manet velora."
+    filler = lambda text: messages(text)[1]
     assert filler(latin) and filler("zork plum zork plum vrax zork") and filler("asdf qwer asdf bla test")
     for fine in ("", "one", "Lower lower high amid muted interest", "home charts journal desk menu search contact about", "la sesión abrió con calma y la sesión cerró con calma", "stop hit. stop moved. stop held after all"):
         assert not filler(fine)

@@ -211,9 +211,9 @@ def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, ke
 
 
 def _conditions(spark: SparkSession, d: str, trades: DataFrame) -> DataFrame:
-    """Completed trades with condition buckets, the session by the instant that the entry time's text denotes."""
+    """Completed trades with condition buckets, the session by the one instant that the entry time's text denotes."""
     log = table(spark, d, "trade_log")
-    clocks = read_clocks(table(spark, d, "ohlcv_raw").limit(0), log, table(spark, d, "feeds")).select(F.col("rec_id").alias("_id"), F.timestamp_micros("utc_us").alias("_entry"))
+    clocks = read_clocks(table(spark, d, "ohlcv_raw").limit(0), log, table(spark, d, "feeds")).where("readings = 1").select(F.col("rec_id").alias("_id"), F.timestamp_micros("utc_us").alias("_entry"))
     done = statistics.completed(trades)
     timed = done.join(clocks, done["row_id"].cast("bigint") == clocks["_id"], "left")
     return timed.withColumns(statistics.condition_columns(StatisticsConfig(), F.col("_entry"))).drop("_id", "_entry")

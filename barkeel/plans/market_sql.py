@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barkeel.plans.clock_sql import CLOCKS
+
 _BARS = """
 WITH RECURSIVE b AS MATERIALIZED (
   SELECT event_type AS symbol, '1h' AS timeframe, date_trunc('hour', ts) AS timestamp, arg_min(value + 100.0, row(ts, event_id)) AS open, max(value + 100.0) AS high,
@@ -109,17 +111,23 @@ WITH g AS (SELECT *, {_REJECT} AS reason FROM sample_ohlcv),
 b AS (SELECT * FROM g WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY symbol, timeframe, timestamp ORDER BY received_at DESC NULLS LAST, bar_id DESC) = 1)
 """
 
-_LOG = """
-WITH t AS (SELECT *, CASE direction WHEN 'LONG' THEN 1 ELSE -1 END AS side, timezone('America/New_York', exit_time) AS local FROM trade_log
+def _conditions(rows: str) -> str:
+    """Completed trades of ``rows`` with their buckets; the session is that of the instant which the text of the entry time denotes."""
+    return f"""
+WITH {CLOCKS}, l AS ({rows}),
+t AS (SELECT l.*, CASE direction WHEN 'LONG' THEN 1 ELSE -1 END AS side, timezone('America/New_York', make_timestamptz(utc_us)) AS local FROM l LEFT JOIN clocks k ON k.rec_table = 'trade_log' AND k.rec_id = l.row_id AND k.readings = 1
   WHERE exit_time IS NOT NULL AND exit_price IS NOT NULL AND pnl IS NOT NULL AND pnl_r IS NOT NULL AND NOT isnan(pnl_r) AND NOT isnan(pnl)),
 u AS (SELECT *, (0.5 * signal_body_ratio + 0.5 * CASE side WHEN 1 THEN signal_close_location ELSE 1 - signal_close_location END) / 1.0 AS sq, side * ema_slope_ratio AS sl,
     hour(local) * 60 + minute(local) AS mi FROM t),
 c AS (SELECT *, CASE WHEN sq <= 0.5 THEN 'WEAK' WHEN sq >= 0.75 THEN 'STRONG' ELSE 'ACCEPTABLE' END AS signal_bar_quality,
     CASE WHEN sl < 0 THEN 'OPPOSING' WHEN sl <= 0.0001 THEN 'FLAT' WHEN sl >= 0.0005 THEN 'STRONG' ELSE 'MODERATE' END AS ema_slope_bucket,
-    CASE WHEN mi < 570 THEN 'PREMARKET' WHEN mi < 630 THEN 'OPEN' WHEN mi < 900 THEN 'MIDDAY' WHEN mi < 960 THEN 'CLOSE' ELSE 'AFTER_HOURS' END AS session,
+    CASE WHEN mi IS NULL THEN 'UNKNOWN' WHEN mi < 570 THEN 'PREMARKET' WHEN mi < 630 THEN 'OPEN' WHEN mi < 900 THEN 'MIDDAY' WHEN mi < 960 THEN 'CLOSE' ELSE 'AFTER_HOURS' END AS session,
     CASE WHEN volatility_range_ratio <= 0.0025 THEN 'LOW' WHEN volatility_range_ratio >= 0.0075 THEN 'HIGH' ELSE 'NORMAL' END AS volatility_regime FROM u)
 """
 
+
+_LOG = _conditions("SELECT * FROM trade_log QUALIFY trade_id IS NULL OR row_number() OVER (PARTITION BY trade_id ORDER BY row_id DESC) = 1")
+
 _SCOPED = (
     _LOG
     + """, k AS (
@@ -174,7 +182,7 @@ SELECT symbol, timeframe, count(*) AS bars,
     "expected_values": _SETUPS
     + _f
     + ", round(risk, 6) AS risk, round(abs(target - entry), 6) AS reward, round(abs(target - entry) / risk, 6) AS ratio, round(0.5 * abs(target - entry) - 0.5 * risk - 0.02, 6) AS ev, round((0.5 * abs(target - entry) - 0.5 * risk - 0.02) / risk, 6) AS ev_r FROM e6 WHERE len(rej) = 0",
-    "trade_condition_buckets": _LOG + "SELECT row_id, signal_bar_quality, ema_slope_bucket, session, volatility_regime FROM c",
+    "trade_condition_buckets": _conditions("SELECT * FROM trade_log") + "SELECT row_id, signal_bar_quality, ema_slope_bucket, session, volatility_regime FROM c",
     "setup_statistics_7_scopes": _SCOPED
     + """SELECT symbol, timeframe, strategy_version, scope, pattern_type, market_regime, signal_bar_quality, ema_slope_bucket, session, volatility_regime, total, wins, losses, total - wins - losses AS breakevens,
   wins / total AS win_rate, CASE WHEN total >= 30 THEN wins / total END AS probability_win, round(aw * wins, 6) / nullif(wins, 0) AS avg_win_r, round(al * losses, 6) / nullif(losses, 0) AS avg_loss_r,

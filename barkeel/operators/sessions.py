@@ -86,12 +86,6 @@ def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
     return missing.unionByName(extra)
 
 
-def _differences(want: DataFrame, have: DataFrame) -> DataFrame:
-    missing = want.join(have, [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("missing").alias("kind"))
-    extra = have.join(want.select(*SERIES, "timestamp"), [*SERIES, "timestamp"], "left_anti").select(*SERIES, "timestamp", F.lit("extra").alias("kind"))
-    return missing.unionByName(extra)
-
-
 def minute_differences(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Minutes that lack a bar (missing) and bars outside the sessions (extra), per series."""
     series = bars.select(*SERIES).distinct()
@@ -107,12 +101,13 @@ def planned_differences(bars: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def expected_per_series(series: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Each series with every expected minute: the calendar travels as one bounded array of sessions."""
-    calendar = sessions.agg(F.sort_array(F.collect_list(F.struct("open_ts", "close_ts", "session_date"))).alias("cal")).first()["cal"]
-    spans = F.array(*(F.struct(F.lit(r["open_ts"]).alias("open_ts"), F.lit(r["close_ts"]).alias("close_ts"), F.lit(r["session_date"]).alias("session_date")) for r in calendar))
-    each = series.select(*SERIES, F.explode(spans).alias("s")).select(*SERIES, "s.*")
+    """Each series with every expected minute: series take the calendar's dates and meet its sessions by date."""
+    first, last_day = sessions.agg(F.min("session_date"), F.max("session_date")).first()
+    if first is None:
+        return series.select(*SERIES, F.lit(None).cast("date").alias("session_date"), F.lit(None).cast("timestamp").alias("timestamp")).where("false")
+    days = series.select(*SERIES, F.explode(F.sequence(F.lit(first), F.lit(last_day), F.expr("interval 1 day"))).alias("session_date"))
     last = F.col("close_ts") - F.expr("interval 1 minute")
-    return each.select(*SERIES, "session_date", F.explode(F.sequence("open_ts", last, F.expr("interval 1 minute"))).alias("timestamp"))
+    return days.join(sessions, "session_date").select(*SERIES, "session_date", F.explode(F.sequence("open_ts", last, F.expr("interval 1 minute"))).alias("timestamp"))
 
 
 def missing_session_dates(differences: DataFrame) -> DataFrame:

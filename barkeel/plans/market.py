@@ -292,12 +292,12 @@ def session_minutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Minutes without a bar, per series and local date, for bars that lack every seventh expected minute; delivered bars are in ohlcv_minute_gaps."""
-    calendar = sessions.session_table(spark, dt.date(2025, 8, 4), dt.date(2025, 8, 8))
-    series = table(spark, d, "instruments").where("market = 'NORTH'").select("symbol", F.lit("1m").alias("timeframe"))
-    bars = sessions.expected_per_series(series, calendar).where(F.pmod(F.unix_seconds("timestamp") / 60, F.lit(7)) != 0)
-    gaps = sessions.minute_differences(bars.select("symbol", "timeframe", "timestamp"), calendar)
-    return gaps.groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"))
+    """Per delivered intraday series, minutes of New York sessions without a reading and minutes with one outside them, over the dates of all readings."""
+    bars = _valid(spark, d).where(F.col("timeframe").endswith("m")).select(*SERIES, F.date_trunc("minute", "timestamp").alias("timestamp"))
+    day = F.to_date(F.from_utc_timestamp("timestamp", sessions.ZONE))
+    first, last = bars.agg(F.min(day), F.max(day)).first()
+    calendar = sessions.session_table(spark, first or dt.date(2025, 1, 2), last or dt.date(2025, 1, 2))
+    return sessions.minute_differences(bars, calendar).groupBy(*SERIES, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ohlcv_minute_gaps(spark: SparkSession, d: str) -> DataFrame:

@@ -212,8 +212,21 @@ SELECT symbol, timeframe, strategy_version, pattern_type, market_regime, CASE WH
     "session_minutes": """WITH d AS (SELECT CAST(unnest(generate_series(DATE '2025-08-01', DATE '2025-11-30', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT strftime(day, '%Y-%m-%d') AS session_date, CASE WHEN day = DATE '2025-11-28' THEN 210 ELSE 390 END AS minutes, CAST(epoch(timezone('America/New_York', day + INTERVAL 570 MINUTE)) AS BIGINT) AS open_s
 FROM d WHERE isodow(day) < 6 AND day NOT IN (DATE '2025-09-01', DATE '2025-11-27')""",
-    "session_minute_gaps": """WITH m AS (SELECT epoch(DATE '2025-08-04') // 60 + 1440 * d + 810 + k AS m FROM range(5) t(d), range(390) u(k))
-SELECT symbol, 'missing' AS kind, count(*) AS n FROM instruments, m WHERE market = 'NORTH' AND m % 7 = 0 GROUP BY symbol""",
+    "session_minute_gaps": f"""WITH b AS (SELECT DISTINCT symbol, timeframe, date_trunc('minute', timestamp) AS m FROM (SELECT *, {_REJECT} AS reason FROM sample_ohlcv) WHERE reason IS NULL AND timeframe LIKE '%m'),
+d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(CAST(timezone('America/New_York', m) AS DATE)) AS lo, max(CAST(timezone('America/New_York', m) AS DATE)) AS hi FROM b)),
+s AS (SELECT timezone('America/New_York', day + to_minutes(CAST(570 + k AS INT))) AS m FROM d, range(390) r(k) WHERE isodow(day) < 6 AND day NOT IN (DATE '2025-07-04', DATE '2025-09-01', DATE '2025-11-27', DATE '2025-12-25')
+  AND (k < 210 OR day NOT IN (DATE '2025-07-03', DATE '2025-11-28', DATE '2025-12-24'))),
+w AS (SELECT symbol, timeframe, m FROM (SELECT DISTINCT symbol, timeframe FROM b), s)
+SELECT symbol, timeframe, 'missing' AS kind, count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM b) GROUP BY ALL UNION ALL SELECT symbol, timeframe, 'extra', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM w) GROUP BY ALL""",
+    "ohlcv_minute_gaps": f"""WITH b AS (SELECT DISTINCT symbol, timeframe, epoch(timestamp) // 60 AS m FROM (SELECT *, {_REJECT} AS reason FROM sample_ohlcv) WHERE reason IS NULL AND timeframe = '1m'),
+w AS (SELECT DISTINCT symbol, timeframe, unnest(generate_series(CAST(epoch(open_ts) AS BIGINT) // 60, CAST(epoch(close_ts) AS BIGINT) // 60 - 1)) AS m FROM session_plan WHERE timeframe = '1m'),
+g AS (SELECT symbol, timeframe, m, 'missing' AS kind FROM (SELECT * FROM w EXCEPT SELECT * FROM b) UNION ALL SELECT symbol, timeframe, m, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM w))
+SELECT symbol, timeframe, strftime(make_timestamp(CAST(m * 60000000 AS BIGINT)), '%Y-%m-%d') AS day, kind, count(*) AS n FROM g GROUP BY ALL""",
+    "ohlcv_resample": _CLEAN
+    + """, o AS (SELECT *, CAST(timezone('America/New_York', timestamp) AS DATE) AS sd, epoch_us(timestamp) AS u, CAST(regexp_extract(timeframe, '^(\\d+)m$', 1) AS INT) AS f FROM b WHERE regexp_matches(timeframe, '^\\d+m$')),
+m AS (SELECT *, min(u) OVER (PARTITION BY symbol, timeframe, sd) AS og FROM o), n AS (SELECT m.*, w, (u - og) // (w * 60000000) AS bin FROM m, (VALUES (5::BIGINT), (15), (30), (60)) v(w) WHERE w > f AND w % f = 0)
+SELECT symbol, timeframe AS source_timeframe, w || 'm' AS timeframe, (og + bin * w * 60000000) // 1000000 AS ts_s, arg_min(open, u) AS open, max(high) AS high, min(low) AS low, arg_max(close, u) AS close, round(sum(volume), 4) AS volume
+FROM n GROUP BY symbol, timeframe, w, sd, og, bin""",
     "stats_labels": """SELECT DISTINCT pattern_type, market_regime, concat_ws(' / ', pattern_type, market_regime) AS label,
   substr(regexp_replace(regexp_replace(lower(concat_ws(' / ', pattern_type, market_regime)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM trade_log""",
 }

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from barkeel.operators.grid import missing_slots, regular_grid
+from barkeel.operators.grid import regular_grid
 from barkeel.operators.rolling import rolling_totals
 
 D = dt.datetime
@@ -17,14 +17,18 @@ def test_grid(spark):
         (4, "A", "30m", day(2, 11), 9.0, 1.0, day(3, 0), "c"), (5, "A", "1d", day(1, 12), 5.0, 1.0, day(3, 0), "c"), (6, None, "30m", day(1, 9), 1.0, 1.0, day(3, 0), "c"), (7, "B", "30m", None, 1.0, 1.0, None, "c"),
     ]
     b, p = spark.createDataFrame(bars, BARS), spark.createDataFrame(plan, PLAN)
-    gaps = {(r.symbol, r.timeframe, r.slot_ts) for r in missing_slots(b, p).collect()}
+    gaps = {(r.symbol, r.timeframe, r.slot_ts) for r in regular_grid(b, p).where("status <> 'observed'").collect()}
     assert gaps == {("A", "30m", day(1, 23, 30)), ("A", "30m", day(2, 0)), ("A", "30m", day(2, 0, 30)), ("A", "30m", day(2, 10)), ("A", "30m", day(2, 10, 30)), ("B", "30m", day(1, 9)), ("B", "30m", day(1, 9, 30))}
     full = {(r.symbol, r.timeframe, r.slot_ts): (r.status, r.close) for r in regular_grid(b, p).collect()}
     assert len(full) == 9
     assert full[("A", "30m", day(1, 23))] == ("observed", 2.0) and full[("A", "30m", day(2, 10))] == ("filled", 2.0) and full[("B", "30m", day(1, 9))] == ("missing", None)
     old = {(r.slot_ts): r.status for r in regular_grid(b, p, 3600).where("symbol = 'A' and timeframe = '30m'").collect()}
     assert old[day(2, 0)] == "filled" and old[day(2, 10)] == "missing"
-    assert missing_slots(b, p.limit(0)).count() == 0 and regular_grid(b.limit(0), p).where("status <> 'missing'").count() == 0
+    wide = {r.slot_ts: r.gap_s for r in regular_grid(b, p.unionByName(p.limit(0))).where("symbol = 'A' and timeframe = '30m'").collect()}
+    assert wide[day(1, 23)] is None and wide[day(2, 10)] is None  # the second has no later reading
+    more = spark.createDataFrame([*bars, (8, "A", "30m", day(2, 10, 40), 3.0, 1.0, day(3, 0), "c")], BARS)
+    assert {r.slot_ts: r.gap_s for r in regular_grid(more, p).where("symbol = 'A' and timeframe = '30m'").collect()}[day(2, 0)] == 11 * 3600 + 35 * 60
+    assert regular_grid(b, p.limit(0)).count() == 0 and regular_grid(b.limit(0), p).where("status <> 'missing'").count() == 0
 
 
 def test_rolling_equals_loop(spark):

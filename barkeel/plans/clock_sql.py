@@ -25,10 +25,12 @@ c7 AS (SELECT *, CASE WHEN half = '' THEN h0 WHEN h0 BETWEEN 1 AND 12 THEN h0 %
 c8 AS (SELECT rec_table, feed, rec_id, z, fz, CAST(rpad(coalesce(p.frac, ''), 6, '0')[1:6] AS BIGINT) AS us, unnest(list_distinct(list_filter(list_transform(days, lambda d: CASE WHEN hh < 24 AND CAST(p.mi AS INT) < 60 AND CAST('0' || p.s AS INT) < 60
     THEN try_cast(d || ' ' || hh || ':' || p.mi || ':' || CASE WHEN p.s = '' THEN '00' ELSE p.s END AS TIMESTAMP) END), lambda v: v IS NOT NULL))) AS wall FROM c7 WHERE timed),
 zn AS (SELECT * FROM (VALUES ('Z', 0), ('UTC', 0), ('GMT', 0), ('UT', 0), ('WET', 0), ('WEST', 60), ('CET', 60), ('CEST', 120), ('MET', 60), ('MEST', 120), ('EET', 120), ('EEST', 180), ('MSK', 180), ('JST', 540), ('KST', 540), ('HKT', 480), ('SGT', 480),
-  ('AEST', 600), ('AEDT', 660), ('NZST', 720), ('NZDT', 780), ('EST', -300), ('EDT', -240), ('CDT', -300), ('MST', -420), ('MDT', -360), ('PST', -480), ('PDT', -420), ('BST', 60), ('IST', 330), ('CST', -360)) v(abbr, fixed)),
-c9 AS (SELECT c8.*, CASE WHEN regexp_matches(z, '^[+-]\d{2}(:?\d{2})?$') THEN CAST(substr(z, 1, 1) || '1' AS INT) * (CAST(substr(z, 2, 2) AS INT) * 60 + CAST('0' || right(replace(z, ':', ''), 2) AS INT) * CAST(length(z) > 3 AS INT)) ELSE fixed END AS off,
-    CASE WHEN z = '' THEN fz WHEN contains(z, '/') THEN z END AS zone FROM c8 LEFT JOIN zn ON abbr = upper(z)),
-c10 AS (SELECT rec_table, feed, rec_id, unnest(CASE WHEN off IS NOT NULL THEN [epoch_us(wall) - CAST(off AS BIGINT) * 60000000 + us] WHEN zone IS NOT NULL THEN list_distinct(list_transform(
+  ('AEST', 600), ('AEDT', 660), ('NZST', 720), ('NZDT', 780), ('EST', -300), ('EDT', -240), ('CDT', -300), ('MST', -420), ('MDT', -360), ('PST', -480), ('PDT', -420), ('BST', 60), ('BST', 360), ('IST', 60), ('IST', 120), ('IST', 330), ('CST', -360), ('CST', 480)) v(abbr, fixed)),
+zl AS (SELECT abbr, list(fixed) AS offs FROM zn GROUP BY abbr),
+c9 AS (SELECT *, CASE WHEN regexp_matches(z, '^[+-]\d{2}(:?\d{2})?$') THEN [CAST(substr(z, 1, 1) || '1' AS INT) * (CAST(substr(z, 2, 2) AS INT) * 60 + CAST('0' || right(replace(z, ':', ''), 2) AS INT) * CAST(length(z) > 3 AS INT))]
+      WHEN len(offs) > 1 AND len(own) > 0 THEN own ELSE offs END AS off, CASE WHEN z = '' THEN fz WHEN contains(z, '/') THEN z END AS zone
+  FROM (SELECT c8.*, offs, list_filter(offs, lambda v: v = (epoch(wall) - epoch(timezone(fz, wall))) / 60 OR v = (epoch(wall + INTERVAL 183 DAY) - epoch(timezone(fz, wall + INTERVAL 183 DAY))) / 60) AS own FROM c8 LEFT JOIN zl ON abbr = upper(z))),
+c10 AS (SELECT rec_table, feed, rec_id, unnest(CASE WHEN off IS NOT NULL THEN list_transform(off, lambda m: epoch_us(wall) - CAST(m AS BIGINT) * 60000000 + us) WHEN zone IS NOT NULL THEN list_distinct(list_transform(
     list_filter([0, -60, 60, -30, 30], lambda k: timezone(zone, timezone(zone, wall) + to_minutes(k)) = wall), lambda k: epoch_us(timezone(zone, wall)) + CAST(k AS BIGINT) * 60000000 + us)) END) AS utc_us FROM c9),
 c11 AS (SELECT rec_table, feed, rec_id, utc_us FROM c10 UNION SELECT rec_table, feed, rec_id, CASE length(x) WHEN 10 THEN CAST(x AS HUGEINT) * 1000000 WHEN 13 THEN CAST(x AS HUGEINT) * 1000 WHEN 16 THEN CAST(x AS HUGEINT) ELSE CAST(x AS HUGEINT) // 1000 END
   FROM c1 WHERE regexp_matches(x, '^(\d{10}|\d{13}|\d{16}|\d{19})$')),

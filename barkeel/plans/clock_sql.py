@@ -29,7 +29,7 @@ zn AS (SELECT * FROM (VALUES ('Z', 0), ('UTC', 0), ('GMT', 0), ('UT', 0), ('WET'
 zl AS (SELECT abbr, list(fixed) AS offs FROM zn GROUP BY abbr),
 c9 AS (SELECT *, CASE WHEN regexp_matches(z, '^[+-]\d{2}(:?\d{2})?$') THEN [CAST(substr(z, 1, 1) || '1' AS INT) * (CAST(substr(z, 2, 2) AS INT) * 60 + CAST('0' || right(replace(z, ':', ''), 2) AS INT) * CAST(length(z) > 3 AS INT))]
       WHEN len(offs) > 1 AND len(own) > 0 THEN own ELSE offs END AS off, CASE WHEN z = '' THEN fz WHEN contains(z, '/') THEN z END AS zone
-  FROM (SELECT c8.*, offs, list_filter(offs, lambda v: v = (epoch(wall) - epoch(timezone(fz, wall))) / 60 OR v = (epoch(wall + INTERVAL 183 DAY) - epoch(timezone(fz, wall + INTERVAL 183 DAY))) / 60) AS own FROM c8 LEFT JOIN zl ON abbr = upper(z))),
+  FROM (SELECT c.*, offs, list_filter(offs, lambda v: v = (epoch(jan) - epoch(timezone(fz, jan))) / 60 OR v = (epoch(jan + INTERVAL 181 DAY) - epoch(timezone(fz, jan + INTERVAL 181 DAY))) / 60) AS own FROM (SELECT *, date_trunc('year', wall) + INTERVAL 9 DAY AS jan FROM c8) c LEFT JOIN zl ON abbr = upper(z))),
 c10 AS (SELECT rec_table, feed, rec_id, unnest(CASE WHEN off IS NOT NULL THEN list_transform(off, lambda m: epoch_us(wall) - CAST(m AS BIGINT) * 60000000 + us) WHEN zone IS NOT NULL THEN list_distinct(list_transform(
     list_filter([0, -60, 60, -30, 30], lambda k: timezone(zone, timezone(zone, wall) + to_minutes(k)) = wall), lambda k: epoch_us(timezone(zone, wall)) + CAST(k AS BIGINT) * 60000000 + us)) END) AS utc_us FROM c9),
 c11 AS (SELECT rec_table, feed, rec_id, utc_us FROM c10 UNION SELECT rec_table, feed, rec_id, CASE length(x) WHEN 10 THEN CAST(x AS HUGEINT) * 1000000 WHEN 13 THEN CAST(x AS HUGEINT) * 1000 WHEN 16 THEN CAST(x AS HUGEINT) ELSE CAST(x AS HUGEINT) // 1000 END

@@ -9,9 +9,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeel.operators import explain, features, patterns, setups, text, vectors
+from barkeel.operators import explain, features, patterns, setups, statistics, text, vectors
 from barkeel.operators.blocks import SERIES
-from barkeel.plans.market import WIDE, Source, _clean, _stages, event_bars
+from barkeel.plans.market import WIDE, Source, _clean, _log, _stages, event_bars
 from barkeel.plans.market_sql import _BARS, _CLEAN, _SETUPS
 from barkeel.plans.tables import table
 from barkeel.session import durable, shared_dir
@@ -47,8 +47,8 @@ def ngram_features(spark: SparkSession, d: str) -> DataFrame:
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Per paragraph, how many of the 1024 places are set, and the vector's squared length."""
-    v = text.embed(table(spark, d, "book_paragraphs").where("text is not null"), "para_id", "text")
-    return v.select("para_id", F.size(F.filter("vector", lambda x: x != 0)).alias("n_set"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm2"))
+    v = text.embed(table(spark, d, "book_paragraphs").where("text is not null"), "para_id", "text", sparse=True)
+    return v.select("para_id", F.size("places").alias("n_set"), F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm2"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +71,24 @@ def passage_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explanation_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """The prompt size of each signal, and whether the engine's own words hold a numeric claim."""
+    """Per signal, its search words, the passages found for them, its evidence and the parts of its prompt."""
     _, evaluated = _stages(spark, d)
-    s = setups.signals(evaluated).select(F.concat_ws("-", "symbol", "bar_index").alias("signal_id"), "symbol", "direction", "pattern_type", "regime", explain.evidence(F.col("reasons"), F.col("reasons")).alias("evidence"))
     q = explain.retrieval_query(F.col("direction"), F.col("pattern_type"), F.col("regime"))
-    p = explain.prompts(s, "signal_id").join(s.select("signal_id", q.alias("query"), "evidence"), "signal_id")
-    return p.select("signal_id", "query", F.size("evidence").alias("n_evidence"), explain.has_numeric_claim(F.array_join("evidence", " ")).alias("numeric_claim"), F.col("user_prompt").contains("<UNTRUSTED_DATA>").alias("fenced"))
+    cols = [*SERIES, "direction", "pattern_type", "regime", "strategy_version"]
+    s = durable(setups.signals(evaluated).select(F.concat_ws("-", "symbol", "bar_index").alias("signal_id"), *cols, explain.evidence(F.col("reasons"), F.col("warnings")).alias("evidence"), q.alias("query")))
+    chunked = durable(text.chunks(table(spark, d, "book_paragraphs"), "para_id"))
+    asked = s.select(F.col("query").alias("id"), F.col("query").alias("text")).distinct()  # a few per pattern and regime
+    ranked = vectors.top_k(text.embed(chunked.select(F.col("chunk_id").alias("id"), "text"), "id", "text"), text.embed(asked, "id", "text"), "id", "vector", 3, digits=4)
+    found = ranked.select(F.col("query_id").alias("query"), F.col("id").alias("chunk_id"), "rank").join(chunked.select("chunk_id", "source_reference", "text"), "chunk_id")
+    references = durable(s.select("signal_id", "query").join(found, "query").drop("query"))
+    known = explain.matching_statistics(s, "signal_id", statistics.setup_statistics(_log(spark, d)))
+    p = explain.prompts(s.drop("query"), "signal_id", references, known)
+    cited = references.groupBy("signal_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: F.substring(x["chunk_id"], 1, 12)), ",").alias("cited"))
+    facts = p.join(s.select("signal_id", "query", "evidence"), "signal_id").join(cited, "signal_id", "left")
+    return facts.select(
+        "signal_id", "query", F.size("evidence").alias("n_evidence"), explain.has_numeric_claim(F.array_join("evidence", " ")).alias("numeric_claim"), "cited",
+        F.size(F.from_json(F.element_at(F.split("user_prompt", "\n"), 3), "references array<struct<rank:int>>")["references"]).alias("n_references"),
+    )
 
 
 def sql_parameterized(spark: SparkSession, d: str) -> DataFrame:

@@ -154,8 +154,24 @@ def test_index_round_trip_and_search(spark, tmp_path):
     chunked.limit(1).write.mode("overwrite").parquet(str(tmp_path / "i" / "chunks"))
     with pytest.raises(ValueError, match="manifest"):
         store.load_index(spark, str(tmp_path / "i"))
-    unit = text.hashed_features("Straße straße", KnowledgeConfig())
-    assert abs(sum(v * v for v in unit.values()) - 1) < 1e-9 and text.hashed_features("", KnowledgeConfig()) == {}
+
+
+def test_vectors_equal_plain_sums(spark):
+    import hashlib
+    import math
+
+    cfg, texts = KnowledgeConfig(dimension=64), ["Straße straße", "", "the old low, the old high", "a", "鿿㐀 it's"]
+    rows = {r.id: r for r in text.embed(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", cfg, sparse=True).collect()}
+    dense = {r.id: r.vector for r in text.embed(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text", cfg).collect()}
+    for i, t in enumerate(texts):
+        want: dict[int, float] = {}
+        for name, n in text.feature_names(t, cfg).items():
+            place = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") % 64
+            want[place] = want.get(place, 0.0) + 1.0 + math.log1p(n)
+        length = math.sqrt(sum(v * v for v in want.values())) or 1.0
+        assert rows[i].places == sorted(want) and all(abs(w - want[p] / length) < 1e-6 for p, w in zip(rows[i].places, rows[i].weights))
+        assert [k for k, v in enumerate(dense[i]) if v] == sorted(want)
+    assert set(text.feature_names("Straße straße", cfg)) == {"w1:strasse", "w2:strasse strasse", "c3:str", "c3:tra", "c3:ras", "c3:ass", "c3:sse", "c3:ses", "c3:est"}
 
 
 def test_top_k_equals_brute_force(spark):

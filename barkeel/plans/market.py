@@ -191,8 +191,15 @@ def orders(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequenc
     return sim.groupBy(*keys, "status", F.coalesce("exit_reason", "rejection").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def order_history(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Every state of every order, entries and exits."""
+    states = execution.order_history(_simulated(spark, d, bars)[0])
+    cols = [*keys, "order_id", "seq", F.unix_seconds("at").alias("at_s"), "direction", "order_type", "quantity", "price", "status", F.unix_seconds("filled_at").alias("filled_s"), "filled_price", "rejection"]
+    return _round(states.select(*cols), "price", "filled_price")
+
+
 def order_latest_state(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return execution.order_states(_simulated(spark, d, bars)[0])
+    return execution.order_states(execution.order_history(_simulated(spark, d, bars)[0])).select(*keys, "order_id", "order_type", "status", "rejection")
 
 
 def trade_log(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -206,8 +213,9 @@ def equity_curve(spark: SparkSession, d: str, bars: Source = event_bars, keys: S
 
 def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Excursions recomputed from the bars by a range join."""
-    sim, _ = _simulated(spark, d, bars)
-    return _round(statistics.excursions(sim.where("status = 'FILLED'"), _spine(spark, d, bars)), "mfe", "mae")
+    rows, evaluated = _stages(spark, d, bars)
+    sim = execution.simulate(rows, setups.signals(evaluated), WIDE)
+    return _round(statistics.excursions(sim.where("status = 'FILLED'"), rows), "mfe", "mae")
 
 
 def _conditions(spark: SparkSession, d: str, trades: DataFrame) -> DataFrame:
@@ -309,13 +317,13 @@ def ohlcv_minute_gaps(spark: SparkSession, d: str) -> DataFrame:
 NAMES = [
     ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, ohlcv_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
     ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts, tight_range_flags, climax_flags,
-    signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
+    signals, expected_values, orders, order_history, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
     setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
     session_minute_gaps, ohlcv_minute_gaps,
 ]
 STAGES = [
     bar_features, bar_class_counts, ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts,
-    tight_range_flags, climax_flags, signals, expected_values, orders, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, chart_window, chart_markers,
+    tight_range_flags, climax_flags, signals, expected_values, orders, order_history, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, chart_window, chart_markers,
 ]
 QUERIES: dict[str, Source] = {f.__name__: f for f in NAMES} | {f"ohlcv_{f.__name__}": partial(f, bars=_clean, keys=SERIES) for f in STAGES}
 

@@ -100,6 +100,45 @@ e6 AS MATERIALIZED (SELECT *, list_filter([
 """
 )
 
+# one step of the recursion is one bar: w is the waiting order, p the open position, o and t what ended on the bar
+_BROKER = (
+    _SETUPS
+    + """, bb AS MATERIALIZED (SELECT s.symbol, s.i, s.timestamp AS tm, s.open AS o, s.high AS h, s.low AS l, s.close AS c, g.side, g.entry, g.stop, g.target, s.i = max(s.i) OVER (PARTITION BY s.symbol) AS final
+    FROM s LEFT JOIN (SELECT * FROM e6 WHERE len(rej) = 0) g ON g.symbol = s.symbol AND g.i = s.i),
+br AS (SELECT symbol, CAST(-1 AS BIGINT) AS i, CAST(100000.0 AS DOUBLE) AS cash, 0 AS ids, 0 AS deals, NULL::STRUCT(no INT, sig BIGINT, tm TIMESTAMP, side INT, qty DOUBLE, entry DOUBLE, stop DOUBLE, target DOUBLE) AS w,
+    NULL::STRUCT(no INT, sig BIGINT, tm TIMESTAMP, side INT, qty DOUBLE, trig DOUBLE, stop DOUBLE, target DOUBLE, idx BIGINT, since TIMESTAMP, entry DOUBLE, mfe DOUBLE, mae DOUBLE) AS p, NULL::INT AS cancelled, NULL::VARCHAR AS why,
+    NULL::STRUCT(no INT, sig BIGINT, tm TIMESTAMP, side INT, qty DOUBLE, entry DOUBLE, stop DOUBLE, target DOUBLE) AS gone, NULL::VARCHAR AS reason, NULL::DOUBLE AS px, NULL::DOUBLE AS pnl,
+    NULL::STRUCT(no INT, sig BIGINT, tm TIMESTAMP, side INT, qty DOUBLE, trig DOUBLE, stop DOUBLE, target DOUBLE, idx BIGINT, since TIMESTAMP, entry DOUBLE, mfe DOUBLE, mae DOUBLE) AS done FROM (SELECT DISTINCT symbol FROM bb)
+  UNION ALL SELECT symbol, i, cash, ids + CAST(entering AS INT), deals, CASE WHEN entering AND NOT final THEN nw END, CASE WHEN reason IS NULL THEN p END,
+    CASE WHEN lapsed IS NOT NULL THEN lapsed.no WHEN final AND entering THEN nw.no END, CASE WHEN lapsed IS NOT NULL THEN 'PENDING_ORDER_EXPIRED' WHEN final AND entering THEN 'END_OF_DATA' END,
+    CASE WHEN lapsed IS NOT NULL THEN lapsed WHEN final AND entering THEN nw END, reason, px, pnl, CASE WHEN reason IS NOT NULL THEN p END
+  FROM (SELECT *, side IS NOT NULL AND (p IS NULL OR r0 IS NOT NULL) AND qty > 0 AS entering, {'no': ids + 1, 'sig': i, 'tm': tm, 'side': side, 'qty': qty, 'entry': entry, 'stop': stop, 'target': target} AS nw
+    FROM (SELECT * REPLACE (ids + CAST(reason IS NOT NULL AS INT) AS ids, cash + coalesce(p.side * (px - p.entry) * p.qty - 0.25, 0) AS cash), p.side * (px - p.entry) * p.qty - 0.25 AS pnl,
+        floor((cash + coalesce(p.side * (px - p.entry) * p.qty - 0.25, 0)) * 0.005 / abs(entry - stop)) AS qty
+      FROM (SELECT *, CASE WHEN r0 IS NOT NULL THEN r0 WHEN final AND p IS NOT NULL THEN 'END_OF_DATA' END AS reason,
+          CASE WHEN r0 IS NULL THEN CASE WHEN final AND p IS NOT NULL THEN c - p.side * 0.01 END WHEN fresh AND mo >= tg THEN p.side * (mo - 0.01)
+               WHEN r0 = 'STOP_LOSS' THEN p.side * (CASE WHEN fresh THEN st ELSE least(mo, st) END - 0.01) ELSE p.side * (CASE WHEN fresh THEN tg ELSE greatest(mo, tg) END - 0.01) END AS px
+        FROM (SELECT *, CASE WHEN p IS NULL THEN NULL WHEN fresh AND mo >= tg THEN 'TARGET' WHEN NOT fresh AND mo <= st THEN 'STOP_LOSS' WHEN NOT fresh AND mo >= tg THEN 'TARGET'
+              WHEN least(mo, mw) <= st THEN 'STOP_LOSS' WHEN greatest(mo, mb) >= tg THEN 'TARGET' END AS r0
+          FROM (SELECT * REPLACE (CASE WHEN p IS NOT NULL THEN {'no': p.no, 'sig': p.sig, 'tm': p.tm, 'side': p.side, 'qty': p.qty, 'trig': p.trig, 'stop': p.stop, 'target': p.target, 'idx': p.idx, 'since': p.since, 'entry': p.entry,
+                'mfe': greatest(p.mfe, CASE p.side WHEN 1 THEN h - p.entry ELSE p.entry - l END), 'mae': greatest(p.mae, CASE p.side WHEN 1 THEN p.entry - l ELSE h - p.entry END)} END AS p),
+              p.side * o AS mo, p.side * CASE p.side WHEN 1 THEN h ELSE l END AS mb, p.side * CASE p.side WHEN 1 THEN l ELSE h END AS mw, p.side * p.stop AS st, p.side * p.target AS tg
+            FROM (SELECT bb.symbol, bb.i, bb.tm, bb.o, bb.h, bb.l, bb.c, bb.side, bb.entry, bb.stop, bb.target, bb.final, br.cash, br.ids, br.deals + CAST(hit AS INT) AS deals, hit AS fresh,
+                CASE WHEN NOT hit AND br.w IS NOT NULL THEN br.w END AS lapsed, NULL::STRUCT(no INT, sig BIGINT, tm TIMESTAMP, side INT, qty DOUBLE, entry DOUBLE, stop DOUBLE, target DOUBLE) AS w,
+                CASE WHEN hit THEN {'no': br.w.no, 'sig': br.w.sig, 'tm': br.w.tm, 'side': br.w.side, 'qty': br.w.qty, 'trig': br.w.entry, 'stop': br.w.stop, 'target': br.w.target, 'idx': bb.i, 'since': bb.tm,
+                  'entry': CASE br.w.side WHEN 1 THEN greatest(bb.o, br.w.entry) ELSE least(bb.o, br.w.entry) END + br.w.side * 0.01, 'mfe': 0.0, 'mae': 0.0} ELSE br.p END AS p
+              FROM (SELECT br.*, coalesce(CASE br.w.side WHEN 1 THEN n.h >= br.w.entry WHEN -1 THEN n.l <= br.w.entry END, false) AS hit FROM br JOIN bb n ON n.symbol = br.symbol AND n.i = br.i + 1) br
+              JOIN bb ON bb.symbol = br.symbol AND bb.i = br.i + 1)))))) ),
+od AS MATERIALIZED (SELECT symbol, 'CANCELLED' AS status, gone.no AS no, NULL::INT AS xno, gone.sig AS sig, gone.tm AS tm, gone.side AS side, gone.qty AS qty, gone.entry AS trig, why, NULL::INT AS deal, NULL::DOUBLE AS entry, NULL::DOUBLE AS px, NULL::VARCHAR AS reason, NULL::DOUBLE AS pnl, NULL::DOUBLE AS cash,
+    NULL::DOUBLE AS mfe, NULL::DOUBLE AS mae, NULL::DOUBLE AS stop, NULL::DOUBLE AS target, NULL::BIGINT AS idx, NULL::BIGINT AS xi, NULL::TIMESTAMP AS since FROM br WHERE gone IS NOT NULL
+  UNION ALL SELECT symbol, 'FILLED', done.no, done.no + 1, done.sig, done.tm, done.side, done.qty, done.trig, NULL, deals, done.entry, px, reason, pnl, cash, done.mfe, done.mae, done.stop, done.target, done.idx, i, done.since FROM br WHERE done IS NOT NULL),
+tr AS (SELECT od.*, bb.tm AS xat, 'trade-' || lpad(CAST(deal AS VARCHAR), 6, '0') AS trade_id FROM od JOIN bb ON bb.symbol = od.symbol AND bb.i = od.xi WHERE status = 'FILLED'),
+hs AS (SELECT symbol, no, 1 AS seq, tm, side, 'STOP' AS kind, qty, trig AS price, 'PENDING' AS status, NULL::TIMESTAMP AS fat, NULL::DOUBLE AS fpx, NULL::VARCHAR AS why FROM od
+  UNION ALL SELECT symbol, no, 2, tm, side, 'STOP', qty, trig, status, since, entry, why FROM od
+  UNION ALL SELECT symbol, xno, 2, xat, side, CASE reason WHEN 'STOP_LOSS' THEN 'STOP' WHEN 'TARGET' THEN 'LIMIT' ELSE 'MARKET' END, qty, CASE reason WHEN 'STOP_LOSS' THEN stop WHEN 'TARGET' THEN target END, 'FILLED', xat, px, NULL FROM tr)
+"""
+)
+
 _REASONS = "second_entry_pattern; market_regime_with_trend; ema_aligned; context_and_pattern_quality_accepted; signal_bar_quality_accepted; directional_pressure_accepted; pullback_depth_accepted; trading_range_filter_passed; climax_filter_passed; room_to_target_accepted"
 
 _REJECT = """CASE WHEN timestamp IS NULL THEN 'null_key' WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL OR isnan(open) OR isnan(high) OR isnan(low) OR isnan(close) OR isnan(volume)
@@ -182,6 +221,19 @@ SELECT symbol, timeframe, count(*) AS bars,
     "expected_values": _SETUPS
     + _f
     + ", round(risk, 6) AS risk, round(abs(target - entry), 6) AS reward, round(abs(target - entry) / risk, 6) AS ratio, round(0.5 * abs(target - entry) - 0.5 * risk - 0.02, 6) AS ev, round((0.5 * abs(target - entry) - 0.5 * risk - 0.02) / risk, 6) AS ev_r FROM e6 WHERE len(rej) = 0",
+    "orders": _BROKER + "SELECT symbol, status, coalesce(reason, why) AS reason, count(*) AS n FROM od GROUP BY ALL",
+    "order_history": _BROKER
+    + """SELECT symbol, 'order-' || lpad(CAST(no AS VARCHAR), 6, '0') AS order_id, seq, CAST(epoch(tm) AS BIGINT) AS at_s, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, kind AS order_type, qty AS quantity, round(price, 6) AS price, status,
+  CAST(epoch(fat) AS BIGINT) AS filled_s, round(fpx, 6) AS filled_price, why AS rejection FROM hs""",
+    "order_latest_state": _BROKER + "SELECT symbol, 'order-' || lpad(CAST(no AS VARCHAR), 6, '0') AS order_id, kind AS order_type, status, why AS rejection FROM hs QUALIFY row_number() OVER (PARTITION BY symbol, no ORDER BY seq DESC) = 1",
+    "trade_log": _BROKER
+    + """SELECT trade_id, symbol, CASE side WHEN 1 THEN 'H2' ELSE 'L2' END || '_WITH_TREND' AS setup, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, round(entry, 6) AS entry_price, round(px, 6) AS exit_price, qty AS quantity,
+  round(pnl, 6) AS pnl, round(pnl / (abs(entry - stop) * qty), 6) AS pnl_r, round(mfe, 6) AS mfe, round(mae, 6) AS mae, CAST(xi - idx + 1 AS INT) AS bars_held, sig AS signal_bar_index, reason AS exit_reason FROM tr""",
+    "equity_curve": _BROKER + "SELECT symbol, trade_id, round(pnl, 6) AS pnl, round(cash, 6) AS cash FROM tr",
+    "mfe_mae_excursion": _BROKER
+    + "SELECT tr.symbol, '1h' AS timeframe, deal AS trade_no, round(greatest(0, max(CASE side WHEN 1 THEN s.high - entry ELSE entry - s.low END)), 6) AS mfe, round(greatest(0, max(CASE side WHEN 1 THEN entry - s.low ELSE s.high - entry END)), 6) AS mae FROM tr JOIN s ON s.symbol = tr.symbol AND s.i BETWEEN idx AND xi GROUP BY ALL",
+    "chart_markers": _BROKER
+    + "SELECT symbol, trade_id, kind, CAST(epoch(t) AS BIGINT) AS at_s, round(v, 6) AS price FROM (SELECT symbol, trade_id, 'entry' AS kind, since AS t, entry AS v FROM tr UNION ALL SELECT symbol, trade_id, 'exit', xat, px FROM tr)",
     "trade_condition_buckets": _conditions("SELECT * FROM trade_log") + "SELECT row_id, signal_bar_quality, ema_slope_bucket, session, volatility_regime FROM c",
     "setup_statistics_7_scopes": _SCOPED
     + """SELECT symbol, timeframe, strategy_version, scope, pattern_type, market_regime, signal_bar_quality, ema_slope_bucket, session, volatility_regime, total, wins, losses, total - wins - losses AS breakevens,

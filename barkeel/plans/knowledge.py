@@ -9,10 +9,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barkeel.config import Pipeline
 from barkeel.operators import explain, features, patterns, setups, statistics, text, vectors
 from barkeel.operators.blocks import SERIES
-from barkeel.plans.market import WIDE, Source, _clean, _log, _stages, event_bars
-from barkeel.plans.market_sql import _BARS, _CLEAN, _SETUPS
+from barkeel.plans.market import Source, _clean, _log, _stages, event_bars, settings
+from barkeel.plans.market_sql import _BARS, _CLEAN, _SETUPS, delivered
+from barkeel.plans.settings import WIDE
 from barkeel.plans.tables import table
 from barkeel.session import durable, shared_dir
 from barkeel.sources.sql import QueryEngine
@@ -146,13 +148,18 @@ def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return _drain(spark, bars, "complete", _fresh(spark, "bars")).select("symbol", F.unix_seconds("timestamp").alias("ts_s"), "open", "high", "low", "close", "volume")
 
 
-def stream_patterns(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Pattern events of the streaming machine over the context rows."""
-    rows = features.market_context(bars(spark, d), WIDE)
+def _streamed(spark: SparkSession, rows: DataFrame, cfg: Pipeline) -> DataFrame:
+    """Pattern events of the streaming machine over context rows."""
     base = _fresh(spark, "events")
     rows.write.parquet(f"{base}/in")
     src = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    return _drain(spark, pattern_stream(src, WIDE), "append", f"{base}/ev").select(*keys, "bar_index", "pattern_type", "start_index", "pullback_bars")
+    return _drain(spark, pattern_stream(src, cfg), "append", f"{base}/ev")
+
+
+def stream_patterns(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Pattern events of the streaming machine."""
+    found = _streamed(spark, features.market_context(bars(spark, d), settings(bars)), settings(bars))
+    return found.select(*keys, "bar_index", "pattern_type", "start_index", "pullback_bars")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -177,9 +184,14 @@ def _drain(spark: SparkSession, stream: DataFrame, mode: str, path: str) -> Data
 
 
 def stream_equals_batch(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Counts of events per pattern, from the batch operator."""
-    rows = durable(features.market_context(bars(spark, d), WIDE))
-    return patterns.detect(rows, WIDE).where("kind = 'event'").groupBy(*keys, "pattern_type").agg(F.count(F.lit(1)).alias("n"))
+    """Events that both the stream and the batch operator find, and those that only one of them does."""
+    rows = durable(features.market_context(bars(spark, d), settings(bars)))
+    cols = [*SERIES, "bar_index", "pattern_type", "start_index", "pullback_bars"]
+    batch = patterns.detect(rows, settings(bars)).where("kind = 'event'").select(*cols, F.lit(1).alias("batch"))
+    stream = _streamed(spark, rows, settings(bars)).select(*cols, F.lit(2).alias("stream"))
+    both = batch.join(stream, cols, "full").withColumn("found", F.coalesce("batch", F.lit(0)) + F.coalesce("stream", F.lit(0)))
+    counts = [F.count_if(F.col("found") == k).alias(n) for k, n in ((3, "n_both"), (1, "n_batch_only"), (2, "n_stream_only"))]
+    return both.groupBy(*keys, "pattern_type").agg(*counts)
 
 
 QUERIES = {
@@ -237,6 +249,7 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 100000 GRO
     "partition_catalog": _CLEAN + "SELECT symbol, timeframe, count(*) AS n_bars FROM b GROUP BY ALL",
     "stream_bars": _BARS + "SELECT symbol, epoch(timestamp)::BIGINT AS ts_s, open, high, low, close, volume FROM b",
     "stream_patterns": _SETUPS + "SELECT symbol, i AS bar_index, pattern_type, si AS start_index, bars AS pullback_bars FROM e1",
-    "stream_equals_batch": _SETUPS + "SELECT symbol, pattern_type, count(*) AS n FROM e1 GROUP BY ALL",
+    "stream_equals_batch": _SETUPS + "SELECT symbol, pattern_type, count(*) AS n_both, 0 AS n_batch_only, 0 AS n_stream_only FROM e1 GROUP BY ALL",
     "rule_gate": "SELECT CASE WHEN item_id % 2 = 0 AND lang = 'en' THEN 'approved' ELSE 'candidate' END AS status, count(*) AS n FROM eval_items GROUP BY ALL",
 }
+ORACLE |= {f"ohlcv_{n}": delivered(ORACLE[n]) for n in ("stream_patterns", "stream_equals_batch")}

@@ -1,8 +1,8 @@
 """Queries of the market pipeline, with their SQL.
 
-A stage runs over two inputs: bars made from the ``events`` table, which have SQL,
-and the delivered bars of ``sample_ohlcv`` (``ohlcv_`` before the stage's name), whose
-series are too long for the recursion of the SQL; a plain loop tests those.
+A stage runs over two inputs: bars made from the ``events`` table, with wide filters,
+and the delivered bars of ``sample_ohlcv`` (``ohlcv_`` before the stage's name), with
+the default filters.
 """
 
 from __future__ import annotations
@@ -14,20 +14,17 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barkeel.config import ExecutionConfig, MarketConfig, Pipeline, SetupConfig, StatisticsConfig
+from barkeel.config import Pipeline, StatisticsConfig
 from barkeel.functions.bars import expected_value, label, risk_reward, slug
 from barkeel.operators import execution, features, patterns, sessions, setups, statistics, validate, views
 from barkeel.operators.blocks import SERIES, indexed
 from barkeel.operators.clock import read_clocks
-from barkeel.plans.market_sql import ORACLE
+from barkeel.plans.market_sql import ORACLE as _SQL
+from barkeel.plans.market_sql import delivered
+from barkeel.plans.settings import SHIPPED, WIDE
 from barkeel.plans.tables import table
 from barkeel.session import durable
 
-# the bars are small prices that jump, so the filters are set wide enough to let signals through
-WIDE = Pipeline(
-    setup=SetupConfig(minimum_context_score=0.0, minimum_directional_pressure=-1.0, minimum_pattern_score=0.0, minimum_signal_body_ratio=0.0, minimum_signal_close_location=0.5, maximum_pullback_depth_ranges=50.0, reject_tight_trading_range=False),
-    market=MarketConfig(0.01, 1.0), execution=ExecutionConfig(slippage_ticks=1, commission=0.25), statistics=StatisticsConfig(minimum_sample=5),
-)
 SHIFT = 100.0
 Source = Callable[[SparkSession, str], DataFrame]
 
@@ -52,24 +49,28 @@ def _clean(spark: SparkSession, d: str) -> DataFrame:
     return validate.keep_last(_valid(spark, d), "received_at", "bar_id")
 
 
+def settings(bars: Source) -> Pipeline:
+    return SHIPPED if bars is _clean else WIDE
+
+
 def _spine(spark: SparkSession, d: str, bars: Source) -> DataFrame:
-    return setups.spine(bars(spark, d), WIDE)
+    return setups.spine(bars(spark, d), settings(bars))
 
 
 def _stages(spark: SparkSession, d: str, bars: Source = event_bars) -> tuple[DataFrame, DataFrame]:
     """The spine, written once as several stages read it, and all evaluations."""
     rows = durable(_spine(spark, d, bars))
-    return rows, setups.evaluate_setups(patterns.pattern_events(rows, WIDE), rows, WIDE)
+    return rows, setups.evaluate_setups(patterns.pattern_events(rows, settings(bars)), rows, settings(bars))
 
 
 def _simulated(spark: SparkSession, d: str, bars: Source) -> tuple[DataFrame, DataFrame]:
     rows, evaluated = _stages(spark, d, bars)
     accepted = durable(setups.signals(evaluated))
-    return execution.simulate(rows, accepted, WIDE), accepted
+    return execution.simulate(rows, accepted, settings(bars)), accepted
 
 
 def _trades(spark: SparkSession, d: str, bars: Source) -> DataFrame:
-    return execution.trade_log(*_simulated(spark, d, bars), WIDE)
+    return execution.trade_log(*_simulated(spark, d, bars), settings(bars))
 
 
 def ohlcv_bars(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +109,7 @@ def session_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bar_features(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    f = features.bar_features(bars(spark, d), WIDE)
+    f = features.bar_features(bars(spark, d), settings(bars))
     cols = [c for c in features.FEATURES if c not in ("ema20", "distance_to_ema", "ema_slope")]
     nums = [c for c in cols if dict(f.dtypes)[c] == "double"]
     return _round(f.select(*keys, "bar_index", *cols), *nums, digits=9)
@@ -121,12 +122,12 @@ def sample_bar_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bar_class_counts(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    f = features.bar_features(bars(spark, d), WIDE)
+    f = features.bar_features(bars(spark, d), settings(bars))
     return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"), *(F.count_if(F.col(c)).alias(f"n_{c}") for c in ("trend_bar", "doji", "inside_bar", "outside_bar")))
 
 
 def ema_slope(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    f = features.bar_features(bars(spark, d), WIDE)
+    f = features.bar_features(bars(spark, d), settings(bars))
     return _round(f.select(*keys, "bar_index", "ema20", "distance_to_ema", "ema_slope"), "ema20", "distance_to_ema", "ema_slope")
 
 
@@ -143,12 +144,12 @@ def always_in_state(spark: SparkSession, d: str, bars: Source = event_bars, keys
 
 
 def pattern_events(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    e = patterns.pattern_events(durable(_spine(spark, d, bars)), WIDE)
+    e = patterns.pattern_events(durable(_spine(spark, d, bars)), settings(bars))
     return _round(e.select(*keys, "bar_index", "pattern_type", "direction", "start_index", "pullback_bars", "trigger_price", "pattern_score"), "trigger_price", "pattern_score")
 
 
 def pattern_transitions(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    t = patterns.detect(durable(_spine(spark, d, bars)), WIDE).where("kind = 'transition'")
+    t = patterns.detect(durable(_spine(spark, d, bars)), settings(bars)).where("kind = 'transition'")
     return t.groupBy(*keys, "detector", "condition").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,13 +209,13 @@ def trade_log(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequ
 
 
 def equity_curve(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return _round(execution.equity_curve(_trades(spark, d, bars), WIDE).select(*keys, "trade_id", "pnl", "cash"), "pnl", "cash")
+    return _round(execution.equity_curve(_trades(spark, d, bars), settings(bars)).select(*keys, "trade_id", "pnl", "cash"), "pnl", "cash")
 
 
 def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Excursions recomputed from the bars by a range join."""
     rows, evaluated = _stages(spark, d, bars)
-    sim = execution.simulate(rows, setups.signals(evaluated), WIDE)
+    sim = execution.simulate(rows, setups.signals(evaluated), settings(bars))
     return _round(statistics.excursions(sim.where("status = 'FILLED'"), rows), "mfe", "mae")
 
 
@@ -327,4 +328,6 @@ STAGES = [
 ]
 QUERIES: dict[str, Source] = {f.__name__: f for f in NAMES} | {f"ohlcv_{f.__name__}": partial(f, bars=_clean, keys=SERIES) for f in STAGES}
 
+ORACLE = _SQL | {f"ohlcv_{f.__name__}": delivered(_SQL[f.__name__]) for f in STAGES if f.__name__ in _SQL}
+
 __all__ = ["ORACLE", "QUERIES"]

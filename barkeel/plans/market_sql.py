@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from barkeel.config import SetupConfig
 from barkeel.plans.clock_sql import CLOCKS
+from barkeel.plans.settings import SHIPPED, WIDE
 
 _BARS = """
 WITH RECURSIVE b AS MATERIALIZED (
@@ -75,6 +77,23 @@ _MARKS = """, mk AS MATERIALIZED (SELECT symbol, i, i >= 9 AND (avg(rng) OVER w
     i >= 9 AND sum(CAST(tb AND bull AS INT)) OVER w >= 4 AS bullc, i >= 9 AND sum(CAST(tb AND bear AS INT)) OVER w >= 4 AS bearc FROM s WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 9 PRECEDING))
 """
 
+def _filters(x: SetupConfig) -> str:
+    """Rejections and warnings of every event under some settings."""
+    tight, climax, room = x.reject_tight_trading_range, x.reject_recent_climax, x.reject_insufficient_room
+    return f"""e6 AS MATERIALIZED (SELECT *, list_filter([
+    CASE WHEN fired <> 2 THEN 'second_entry_pattern_required' END,
+    CASE WHEN NOT (CASE side WHEN 1 THEN regime IN ('BULL_TREND', 'STRONG_BULL_TREND') ELSE regime IN ('BEAR_TREND', 'STRONG_BEAR_TREND') END) THEN 'market_regime_not_with_trend' END,
+    CASE WHEN NOT coalesce(side * (close - ema) > 0 AND side * slope > 0, false) THEN 'ema_not_aligned' END,
+    CASE WHEN score < {x.minimum_pattern_score!r} THEN 'pattern_quality_below_minimum' END, CASE WHEN side * ts < {x.minimum_context_score!r} THEN 'context_score_below_minimum' END,
+    CASE WHEN br < {x.minimum_signal_body_ratio!r} THEN 'signal_bar_body_too_small' END,
+    CASE WHEN CASE side WHEN 1 THEN cl < {x.minimum_signal_close_location!r}::DOUBLE ELSE cl > {1.0 - x.minimum_signal_close_location!r}::DOUBLE END THEN 'signal_bar_close_too_weak' END,
+    CASE WHEN side * ps < {x.minimum_directional_pressure!r} THEN 'opposite_or_insufficient_pressure' END,
+    CASE WHEN depth > {x.maximum_pullback_depth_ranges!r} THEN 'pullback_too_deep' END, CASE WHEN {tight} AND tight THEN 'tight_trading_range' END, CASE WHEN {climax} AND climax THEN 'recent_climax' END,
+    CASE WHEN risk <= 0 THEN 'non_positive_initial_risk' END, CASE WHEN {room} AND room < {x.minimum_room_to_target_r!r} THEN 'insufficient_room_to_target' END], lambda v: v IS NOT NULL) AS rej,
+  list_filter([CASE WHEN NOT (CASE side WHEN 1 THEN bull ELSE bear END) THEN 'signal_bar_not_directional' END, CASE WHEN NOT {tight} AND tight THEN 'tight_trading_range' END,
+    CASE WHEN NOT {climax} AND climax THEN 'recent_climax' END, CASE WHEN NOT {room} AND room < {x.minimum_room_to_target_r!r} THEN 'insufficient_room_to_target' END], lambda v: v IS NOT NULL) AS warn FROM e5)"""
+
+
 _SETUPS = (
     _STATES
     + _MARKS
@@ -88,16 +107,18 @@ e3 AS (SELECT e1.*, e2.pbh, e2.pbl, e2.pbr, e2.res, e2.sup, mk.tight, CASE e1.si
 e4 AS (SELECT *, abs(entry - stop) AS risk, CASE WHEN pbr > 0 THEN (pbh - pbl) / pbr ELSE 0 END AS depth FROM e3),
 e5 AS (SELECT *, (round(CAST(entry AS DECIMAL(28,9)) * 100, 0) + side * 2 * round(CAST(risk AS DECIMAL(28,9)) * 100, 0)) / 100.0 AS target,
     CASE WHEN risk > 0 AND si > 0 THEN CASE side WHEN 1 THEN res - entry ELSE entry - sup END / risk END AS room FROM e4),
-e6 AS MATERIALIZED (SELECT *, list_filter([
-    CASE WHEN fired <> 2 THEN 'second_entry_pattern_required' END,
-    CASE WHEN NOT (CASE side WHEN 1 THEN regime IN ('BULL_TREND', 'STRONG_BULL_TREND') ELSE regime IN ('BEAR_TREND', 'STRONG_BEAR_TREND') END) THEN 'market_regime_not_with_trend' END,
-    CASE WHEN NOT coalesce(side * (close - ema) > 0 AND side * slope > 0, false) THEN 'ema_not_aligned' END,
-    CASE WHEN score < 0 THEN 'pattern_quality_below_minimum' END, CASE WHEN side * ts < 0 THEN 'context_score_below_minimum' END,
-    CASE WHEN CASE side WHEN 1 THEN cl < 0.5 ELSE cl > 0.5 END THEN 'signal_bar_close_too_weak' END, CASE WHEN side * ps < -1 THEN 'opposite_or_insufficient_pressure' END,
-    CASE WHEN depth > 50 THEN 'pullback_too_deep' END, CASE WHEN risk <= 0 THEN 'non_positive_initial_risk' END], lambda v: v IS NOT NULL) AS rej,
-  list_filter([CASE WHEN NOT (CASE side WHEN 1 THEN bull ELSE bear END) THEN 'signal_bar_not_directional' END, CASE WHEN tight THEN 'tight_trading_range' END,
-    CASE WHEN climax THEN 'recent_climax' END, CASE WHEN room < 1 THEN 'insufficient_room_to_target' END], lambda v: v IS NOT NULL) AS warn FROM e5)
 """
+    + _filters(WIDE.setup)
+)
+
+_MOVES = (
+    _STATES
+    + """, mv AS (SELECT b.symbol, b.side, b.i, a.ph AS was, b.ph AS now, b.fired, b.bars, q.ctx, q.dn FROM p b JOIN p a ON a.symbol = b.symbol AND a.side = b.side AND a.i = b.i - 1 JOIN q ON q.symbol = b.symbol AND q.side = b.side AND q.i = b.i),
+tx AS (SELECT symbol, side, unnest(list_filter([CASE WHEN was > 0 AND NOT ctx THEN 'lost' END, CASE WHEN was > 0 AND ctx AND bars > 20 THEN 'expired' END, CASE WHEN was = 0 AND now = 1 THEN 'start' END, CASE WHEN was = 1 AND fired = 1 THEN 'first' END,
+    CASE WHEN was = 2 AND now = 3 THEN 'leg' END, CASE WHEN was = 3 AND ctx AND bars <= 20 THEN 'arm' END, CASE WHEN fired = 2 THEN 'second' END], lambda v: v IS NOT NULL)) AS why FROM mv)
+SELECT symbol, CASE side WHEN 1 THEN 'H1H2' ELSE 'L1L2' END AS detector, CASE why WHEN 'lost' THEN CASE side WHEN 1 THEN 'long' ELSE 'short' END || '_context_lost' WHEN 'expired' THEN 'pullback_expired' WHEN 'arm' THEN 'second_attempt_armed'
+    WHEN 'start' THEN CASE side WHEN 1 THEN 'bear_bar_or_lower_low' ELSE 'bull_bar_or_higher_high' END WHEN 'leg' THEN CASE side WHEN 1 THEN 'new_down_leg_after_h1' ELSE 'new_up_leg_after_l1' END
+    ELSE why || CASE side WHEN 1 THEN '_up_attempt' ELSE '_down_attempt' END END AS condition, count(*) AS n FROM tx GROUP BY ALL"""
 )
 
 # one step of the recursion is one bar: w is the waiting order, p the open position, o and t what ended on the bar
@@ -221,10 +242,11 @@ SELECT symbol, timeframe, count(*) AS bars,
     "expected_values": _SETUPS
     + _f
     + ", round(risk, 6) AS risk, round(abs(target - entry), 6) AS reward, round(abs(target - entry) / risk, 6) AS ratio, round(0.5 * abs(target - entry) - 0.5 * risk - 0.02, 6) AS ev, round((0.5 * abs(target - entry) - 0.5 * risk - 0.02) / risk, 6) AS ev_r FROM e6 WHERE len(rej) = 0",
+    "pattern_transitions": _MOVES,
     "orders": _BROKER + "SELECT symbol, status, coalesce(reason, why) AS reason, count(*) AS n FROM od GROUP BY ALL",
     "order_history": _BROKER
-    + """SELECT symbol, 'order-' || lpad(CAST(no AS VARCHAR), 6, '0') AS order_id, seq, CAST(epoch(tm) AS BIGINT) AS at_s, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, kind AS order_type, qty AS quantity, round(price, 6) AS price, status,
-  CAST(epoch(fat) AS BIGINT) AS filled_s, round(fpx, 6) AS filled_price, why AS rejection FROM hs""",
+    + """SELECT symbol, 'order-' || lpad(CAST(no AS VARCHAR), 6, '0') AS order_id, seq, epoch_us(tm) // 1000000 AS at_s, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, kind AS order_type, qty AS quantity, round(price, 6) AS price, status,
+  epoch_us(fat) // 1000000 AS filled_s, round(fpx, 6) AS filled_price, why AS rejection FROM hs""",
     "order_latest_state": _BROKER + "SELECT symbol, 'order-' || lpad(CAST(no AS VARCHAR), 6, '0') AS order_id, kind AS order_type, status, why AS rejection FROM hs QUALIFY row_number() OVER (PARTITION BY symbol, no ORDER BY seq DESC) = 1",
     "trade_log": _BROKER
     + """SELECT trade_id, symbol, CASE side WHEN 1 THEN 'H2' ELSE 'L2' END || '_WITH_TREND' AS setup, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, round(entry, 6) AS entry_price, round(px, 6) AS exit_price, qty AS quantity,
@@ -233,7 +255,7 @@ SELECT symbol, timeframe, count(*) AS bars,
     "mfe_mae_excursion": _BROKER
     + "SELECT tr.symbol, '1h' AS timeframe, deal AS trade_no, round(greatest(0, max(CASE side WHEN 1 THEN s.high - entry ELSE entry - s.low END)), 6) AS mfe, round(greatest(0, max(CASE side WHEN 1 THEN entry - s.low ELSE s.high - entry END)), 6) AS mae FROM tr JOIN s ON s.symbol = tr.symbol AND s.i BETWEEN idx AND xi GROUP BY ALL",
     "chart_markers": _BROKER
-    + "SELECT symbol, trade_id, kind, CAST(epoch(t) AS BIGINT) AS at_s, round(v, 6) AS price FROM (SELECT symbol, trade_id, 'entry' AS kind, since AS t, entry AS v FROM tr UNION ALL SELECT symbol, trade_id, 'exit', xat, px FROM tr)",
+    + "SELECT symbol, trade_id, kind, epoch_us(t) // 1000000 AS at_s, round(v, 6) AS price FROM (SELECT symbol, trade_id, 'entry' AS kind, since AS t, entry AS v FROM tr UNION ALL SELECT symbol, trade_id, 'exit', xat, px FROM tr) m JOIN (SELECT symbol AS y, min(timestamp) AS since0, max(timestamp) AS till FROM s JOIN (SELECT symbol AS x, max(i) AS top FROM s GROUP BY 1) ON symbol = x AND i > top - 2000 GROUP BY 1) ON y = symbol AND t BETWEEN since0 AND till",
     "trade_condition_buckets": _conditions("SELECT * FROM trade_log") + "SELECT row_id, signal_bar_quality, ema_slope_bucket, session, volatility_regime FROM c",
     "setup_statistics_7_scopes": _SCOPED
     + """SELECT symbol, timeframe, strategy_version, scope, pattern_type, market_regime, signal_bar_quality, ema_slope_bucket, session, volatility_regime, total, wins, losses, total - wins - losses AS breakevens,
@@ -282,3 +304,17 @@ FROM n GROUP BY symbol, timeframe, w, sd, og, bin""",
     "stats_labels": """SELECT DISTINCT pattern_type, market_regime, concat_ws(' / ', pattern_type, market_regime) AS label,
   substr(regexp_replace(regexp_replace(lower(concat_ws(' / ', pattern_type, market_regime)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM trade_log""",
 }
+
+# the delivered bars in the place of the bars of the events, a series as one name
+_DELIVERED = f"""
+WITH RECURSIVE raw AS (SELECT *, {_REJECT} AS reason FROM sample_ohlcv),
+kept AS (SELECT * FROM raw WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY symbol, timeframe, timestamp ORDER BY received_at DESC NULLS LAST, bar_id DESC) = 1),
+b AS MATERIALIZED (SELECT symbol || '|' || timeframe AS symbol, timeframe, CAST(timestamp AS TIMESTAMP) AS timestamp, open, high, low, close, volume FROM kept)
+"""
+
+
+def delivered(sql: str) -> str:
+    """A stage's SQL over the delivered bars and with the shipped settings."""
+    inner = sql.replace(_BARS, _DELIVERED).replace(_filters(WIDE.setup), _filters(SHIPPED.setup)).replace("'1h' AS timeframe", "NULL AS timeframe")
+    kept = "q.* EXCLUDE (symbol, timeframe)" if "NULL AS timeframe" in inner else "q.* EXCLUDE (symbol)"
+    return f"SELECT split_part(q.symbol, '|', 1) AS symbol, split_part(q.symbol, '|', 2) AS timeframe, {kept} FROM ({inner}) q"

@@ -12,6 +12,7 @@ def _need(ok: bool, message: str) -> None:
         raise ValueError(message)
 
 
+# The defaults of all settings below, on which results depend.
 @dataclass(frozen=True)
 class BarConfig:
     doji_body_ratio: float = 0.20

@@ -196,3 +196,9 @@ def pattern_events(rows: DataFrame, cfg: Pipeline = Pipeline()) -> DataFrame:
         "*", F.when(F.col("direction") == "LONG", F.col("high")).otherwise(F.col("low")).alias("trigger_price"),
         F.substring("pattern_type", 2, 1).cast("int").alias("attempt_number"), quality(F.col("direction"), cfg).alias("pattern_score"),
     )
+
+
+def transition_log(found: DataFrame) -> DataFrame:
+    """Transitions of both detectors as one log, in order of bar and detector."""
+    log = found.where("kind = 'transition'").drop("kind", "start_index", "pullback_bars")
+    return log.orderBy(*SERIES, "bar_index", "detector")

@@ -98,6 +98,7 @@ def evaluate_setups(events: DataFrame, rows: DataFrame, cfg: Pipeline = Pipeline
     weak = F.when(long, F.col("close_location") < place).otherwise(F.col("close_location") > 1.0 - place)
     tight, cramped = F.col("tight_range"), F.coalesce(F.col("room_r") < s.minimum_room_to_target_r, F.lit(False))
     no = F.lit(False)
+    # Names of rejections and warnings.
     rejects = [
         ("strategy_module_disabled", F.when(long, F.lit(not on.h2_with_trend)).otherwise(F.lit(not on.l2_with_trend))),
         ("second_entry_pattern_required", F.col("attempt_number") != 2),
@@ -130,6 +131,7 @@ def accepted_reasons(cfg: Pipeline) -> list[str]:
     """The reasons of an accepted setup, which depend on the modules that are on."""
     on = cfg.modules
     both = on.pattern_quality_filter and on.context_quality_filter
+    # Names of reasons.
     pairs = [
         ("second_entry_pattern", True), ("market_regime_with_trend", on.market_regime_filter), ("ema_aligned", on.ema_alignment_filter),
         ("context_and_pattern_quality_accepted", both), ("pattern_quality_accepted", on.pattern_quality_filter and not both),
@@ -140,6 +142,19 @@ def accepted_reasons(cfg: Pipeline) -> list[str]:
     return [n for n, yes in pairs if yes]
 
 
-def signals(evaluated: DataFrame) -> DataFrame:
-    """Accepted evaluations."""
+def require_point_in_time(events: DataFrame, rows: DataFrame, cfg: Pipeline) -> None:
+    """Every bar that an event's evaluation looks at must be there, up to its signal bar, with the event's time and version; else an error that names up to ten."""
+    first = F.greatest(F.col("start_index") - cfg.setup.context_lookback, F.lit(0))
+    need = events.select(*SERIES, F.col("bar_index").alias("_signal"), F.col("timestamp").alias("_at"), F.explode(F.sequence(first, F.col("bar_index"))).alias("bar_index"))
+    seen = need.join(rows.select(*SERIES, "bar_index", F.col("timestamp").alias("_time"), "strategy_version"), [*SERIES, "bar_index"], "left")
+    wrong = F.col("_time").isNull() | (F.col("_time") > F.col("_at")) | ((F.col("bar_index") == F.col("_signal")) & (F.col("_time") != F.col("_at"))) | (F.col("strategy_version") != cfg.strategy_version)
+    bad = seen.where(wrong).select(*SERIES, "_signal", "bar_index").limit(10).collect()
+    if bad:
+        raise ValueError(f"evaluations without their bars: {[tuple(r) for r in bad]}")
+
+
+def signals(evaluated: DataFrame, version: str | None = None) -> DataFrame:
+    """Accepted evaluations; with a ``version``, evaluations of another one are an error."""
+    if version is not None and not evaluated.where(~F.col("strategy_version").eqNullSafe(F.lit(version))).isEmpty():
+        raise ValueError(f"evaluations of another version than {version}")
     return evaluated.where("accepted")

@@ -149,3 +149,11 @@ def coverage(bars: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.max_by("close", F.struct("timestamp", "close")).alias("last_close"),
         F.count(F.lit(1)).alias("n_bars"), F.avg("volume").alias("mean_volume"),
     )
+
+
+def trade_coverage(trades: DataFrame) -> DataFrame:
+    """Span, count, sum of results and win rate of completed trades per series."""
+    n = F.count(F.lit(1))
+    return trades.groupBy(*SERIES).agg(
+        F.min("exit_time").alias("first_exit"), F.max("exit_time").alias("last_exit"), n.alias("n_trades"), F.sum("pnl").alias("pnl"), F.try_divide(F.count_if(F.col("pnl") > 0), n).alias("win_rate")
+    )

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barkeel.operators.blocks import SERIES
+from barkeel.operators.clock import readings
+from barkeel.session import durable
 
 NUMBERS = ["open", "high", "low", "close", "volume"]
 REQUIRED = ["timestamp", *NUMBERS]
@@ -37,7 +39,7 @@ def canonical_names(df: DataFrame, renames: Mapping[str, str] | None = None) ->
 
 
 def parse_timestamp(df: DataFrame, unit: str | None = None) -> Column:
-    """The timestamp column as an instant; numbers need a unit, naive texts are UTC, others become null."""
+    """The timestamp column as an instant; numbers need a unit."""
     kind = df.schema["timestamp"].dataType.typeName()
     ts = F.col("timestamp")
     if kind in ("long", "integer", "short", "double", "float", "decimal"):
@@ -48,7 +50,7 @@ def parse_timestamp(df: DataFrame, unit: str | None = None) -> Column:
             raise InvalidBars("numeric timestamps need a unit: s, ms, us or ns")
         return F.timestamp_micros((ts * scale[unit]).cast("bigint"))
     if kind == "string":
-        return F.try_to_timestamp(F.trim(ts))
+        raise InvalidBars("texts are read by typed")
     return ts.cast("timestamp")
 
 
@@ -65,8 +67,18 @@ def reject_reason() -> Column:
 
 
 def typed(df: DataFrame, unit: str | None = None) -> DataFrame:
-    """Canonical names with instants and doubles; what cannot be cast is null."""
-    ts = parse_timestamp(df, unit).alias("timestamp")
+    """Canonical names with instants and doubles; what cannot be cast is null.
+
+    Texts of any notation that denotes exactly one instant are read, UTC where they
+    name no zone; bare numbers need a unit and a numeric column.
+    """
+    if df.schema["timestamp"].dataType.typeName() == "string":
+        feeds = df.sparkSession.createDataFrame([], "feed string, zone_name string, date_order string")
+        read = readings(df.withColumn("_text", F.when(~F.col("timestamp").rlike(r"^\s*\d+\s*$"), F.col("timestamp"))).withColumn("feed", F.lit(None).cast("string")), "_text", "feed", feeds, keep=df.columns)
+        df = durable(read)  # the reading is a large expression: evaluated once, not wherever the time is used
+        ts = F.when(F.size("_readings") == 1, F.timestamp_micros(F.get("_readings", F.lit(0))["utc_us"])).alias("timestamp")
+    else:
+        ts = parse_timestamp(df, unit).alias("timestamp")
     return df.select(*[c for c in SERIES if c in df.columns], ts, *(F.col(n).try_cast("double").alias(n) for n in NUMBERS))
 
 
@@ -91,7 +103,7 @@ def keep_last(df: DataFrame, *order: str) -> DataFrame:
 
 def normalize(df: DataFrame, renames: Mapping[str, str] | None = None, unit: str | None = None) -> DataFrame:
     """Strict form: an empty frame, a bad row or a duplicate is an error that names up to ten offenders."""
-    rows = typed(canonical_names(df, renames), unit)
+    rows = durable(typed(canonical_names(df, renames), unit))  # judged several times, read once
     good, bad = split_valid(rows)
     first = bad.limit(10).collect()
     if first:
@@ -102,3 +114,33 @@ def normalize(df: DataFrame, renames: Mapping[str, str] | None = None, unit: str
     if twice:
         raise InvalidBars(f"duplicate timestamps: {[r.asDict() for r in twice]}")
     return good
+
+
+def require_context_rows(rows: DataFrame) -> None:
+    """Rows that enter the context engine need keys, finite numbers and a time that rises with the bar number; else an error that names up to ten."""
+    numbers = [c for c in ("open", "high", "low", "close", "ema20", "body_ratio", "close_location", "overlap_previous") if c in rows.columns]
+    broken = F.col("symbol").isNull() | F.col("timeframe").isNull() | F.col("timestamp").isNull()
+    for c in numbers:
+        broken = broken | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    first = rows.where(broken).select(*SERIES, "timestamp").limit(10).collect()
+    if first:
+        raise InvalidBars(f"rows without keys or finite numbers: {[tuple(r) for r in first]}")
+    twice = duplicates(rows).limit(10).collect()
+    if twice:
+        raise InvalidBars(f"times that do not rise: {[r.asDict() for r in twice]}")
+    if "bar_index" in rows.columns:
+        span = W.partitionBy(*SERIES, F.floor(F.col("bar_index") / 4096)).orderBy("bar_index")
+        late = rows.withColumn("_before", F.lag("timestamp").over(span)).where("_before >= timestamp").select(*SERIES, "bar_index").limit(10).collect()
+        if late:
+            raise InvalidBars(f"times that do not rise: {[tuple(r) for r in late]}")
+
+
+def require_synchronised(bars: DataFrame, rows: DataFrame, version: str) -> None:
+    """Each bar must have its context row of the same number, time and version, and the other way round; else an error that names up to ten."""
+    at = [*SERIES, "timestamp"]
+    left = bars.select(*at, F.col("bar_index").alias("_bar"))
+    right = rows.select(*at, F.col("bar_index").alias("_row"), F.col("strategy_version").alias("_version"))
+    wrong = left.join(right, at, "full").where(~F.col("_bar").eqNullSafe(F.col("_row")) | ~F.col("_version").eqNullSafe(F.lit(version)))
+    first = wrong.limit(10).collect()
+    if first:
+        raise InvalidBars(f"bars and context rows do not match: {[tuple(r) for r in first]}")

@@ -56,11 +56,14 @@ def _scorer(shared, key: str, vector: str, k: int, digits: int):
             keys = b.column(key)
             order = pa.compute.sort_indices(keys).to_numpy()  # ties then go to the smaller key
             scores = np.round(_matrix(b.column(vector))[order] @ asked.T, digits) + 0.0
-            best = np.argsort(-scores, axis=0, kind="stable")[:k]
-            col = np.repeat(np.arange(len(ids))[None, :], len(best), axis=0)
-            at = best.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[c] for c in col.ravel()], keys.type), keys.take(pa.array(order[at])), pa.array(scores[at, col.ravel()])], names=["query_id", key, "score"]
-            )
+            if len(scores) > k:
+                # no full sort: what is above the k-th best of a query, and of its equals the first ones
+                least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+                above, equal = scores > least, scores == least
+                keep = above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
+            else:
+                keep = np.ones_like(scores, dtype=bool)
+            at, col = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[c] for c in col], keys.type), keys.take(pa.array(order[at])), pa.array(scores[at, col])], names=["query_id", key, "score"])
 
     return work

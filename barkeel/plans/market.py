@@ -266,6 +266,12 @@ def empirical_probability(spark: SparkSession, d: str) -> DataFrame:
     return statistics.empirical_probability(asked, statistics.setup_statistics(log))
 
 
+def trade_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Completed trades of each series: span, count, sum of results, win rate."""
+    c = statistics.trade_coverage(statistics.completed(statistics.latest(table(spark, d, "trade_log"), "row_id")))
+    return c.select(*SERIES, F.unix_micros("first_exit").alias("first_us"), F.unix_micros("last_exit").alias("last_us"), "n_trades", F.round("pnl", 6).alias("pnl"), "win_rate")
+
+
 def stats_labels(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trade_log").select("pattern_type", "market_regime").distinct()
     return t.select("pattern_type", "market_regime", label(F.col("pattern_type"), F.col("market_regime")).alias("label"), slug(label(F.col("pattern_type"), F.col("market_regime"))).alias("slug"))
@@ -319,7 +325,7 @@ NAMES = [
     ohlcv_bars, ohlcv_validate_rejects, ohlcv_duplicate_keys, ohlcv_dedupe_keep_last, session_resample, ohlcv_resample, session_coverage, bar_features, sample_bar_features, bar_class_counts,
     ema_slope, context_scores, regime_labels, always_in_state, pattern_events, pattern_transitions, setup_evaluations, setup_rejection_counts, tight_range_flags, climax_flags,
     signals, expected_values, orders, order_history, order_latest_state, trade_log, equity_curve, mfe_mae_excursion, trade_condition_buckets, setup_statistics_7_scopes,
-    setup_statistics_grouping_sets, backtest_metrics, empirical_probability, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
+    setup_statistics_grouping_sets, backtest_metrics, empirical_probability, trade_coverage, stats_labels, chart_window, chart_markers, dimension_values, filtered_statistics, session_minutes,
     session_minute_gaps, ohlcv_minute_gaps,
 ]
 STAGES = [

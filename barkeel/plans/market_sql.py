@@ -280,6 +280,7 @@ SELECT symbol, n AS total_trades, w AS wins, l AS losses, w / n AS win_rate, rou
   pattern_type IS NOT NULL AND market_regime IS NOT NULL AS known FROM c GROUP BY symbol, timeframe, strategy_version, pattern_type, market_regime)
 SELECT symbol, timeframe, strategy_version, pattern_type, market_regime, CASE WHEN known THEN n END AS total, CASE WHEN known AND n >= 30 THEN w / n END AS probability_win,
   CASE WHEN NOT known THEN 'NO_MATCHING_STATISTICS' WHEN n < 30 THEN 'INSUFFICIENT_SAMPLE' ELSE 'AVAILABLE' END AS evidence FROM g""",
+    "trade_coverage": _LOG + "SELECT symbol, timeframe, epoch_us(min(exit_time)) AS first_us, epoch_us(max(exit_time)) AS last_us, count(*) AS n_trades, round(sum(pnl), 6) AS pnl, count(*) FILTER (pnl > 0) / count(*) AS win_rate FROM c GROUP BY ALL",
     "chart_window": _BARS + ", x AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS bar_index, count(*) OVER (PARTITION BY symbol) AS n FROM b) SELECT symbol, bar_index, close FROM x WHERE bar_index >= n - 50",
     "dimension_values": "SELECT DISTINCT market_regime FROM trade_log WHERE market_regime IS NOT NULL",
     "filtered_statistics": _SCOPED + "SELECT symbol, timeframe, strategy_version, pattern_type, total, wins FROM z WHERE scope = 'PATTERN_REGIME' AND market_regime = 'BULL_TREND'",

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,11 +71,15 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+_WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
     Lost executors cost nothing but the re-read of files.  On a local master the
-    table is removed when Python ends; on a cluster the folder's owner clears it.
+    table is removed when Python ends; on a cluster by ``clear_durable``, once the
+    results that read it are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/barkeel-{uuid.uuid4().hex}"
@@ -81,6 +87,46 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
+    _WRITTEN.append(path)
     if spark.sparkContext.master.startswith("local["):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_durable(spark: SparkSession) -> int:
+    """Remove the tables that ``durable`` wrote in this process; frames that read them end with them."""
+    removed = 0
+    while _WRITTEN:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+    return removed
+
+
+def watched(df: DataFrame, callback: Callable[[int, int], None], pause: float = 0.2) -> DataFrame:
+    """``durable(df)`` that tells a callback how many of the tasks known so far are done: first (0, 0), last (n, n)."""
+    context, group, done = df.sparkSession.sparkContext, f"watched-{uuid.uuid4().hex}", threading.Event()
+    seen = [0, 0]
+
+    def tell() -> None:
+        tracker = context.statusTracker()
+        stages = {s: i for j in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(j)) for s in job.stageIds if (i := tracker.getStageInfo(s))}
+        now = [sum(i.numCompletedTasks for i in stages.values()), sum(i.numTasks for i in stages.values())]
+        if now != seen and now[1] >= seen[1] and now[0] >= seen[0]:
+            seen[:] = now
+            callback(*now)
+
+    def watch() -> None:
+        while not done.wait(pause):
+            tell()
+
+    callback(0, 0)
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.setJobGroup(group, "watched")
+    watcher.start()
+    try:
+        return durable(df)
+    finally:
+        done.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        callback(max(seen[1], 1), max(seen[1], 1))

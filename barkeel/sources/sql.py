@@ -10,11 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class QueryEngine:
-    """Registers views and runs SQL; results stay lazy."""
+    """Registers views and runs SQL; results stay lazy.
 
-    def __init__(self, spark: SparkSession) -> None:
+    With a ``database`` folder, each table in it (a Parquet folder) is a view, and
+    ``save`` adds one, unless the engine is read-only; without it nothing outlives
+    the engine.
+    """
+
+    def __init__(self, spark: SparkSession, database: str | None = None, read_only: bool = False) -> None:
         self.spark: SparkSession | None = spark
         self.views: list[str] = []
+        self.database, self.read_only = database and database.rstrip("/"), read_only
+        if database is None and read_only:
+            raise ValueError("a read-only engine needs a database")
+        if database is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(database)
+            files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            if read_only and not files.exists(where):
+                raise FileNotFoundError(database)
+            for f in files.listStatus(where) if files.exists(where) else []:
+                self.register_parquet(f.getPath().getName(), f.getPath().toString())
+
+    def save(self, table: str, frame: DataFrame) -> None:
+        """Write a frame as a table of the database and register it."""
+        self._open()
+        if self.database is None or self.read_only:
+            raise PermissionError("the engine has no database that it may write")
+        path = f"{self.database}/{self._name(table)}"
+        frame.write.mode("overwrite").parquet(path)
+        self.register_parquet(table, path)
 
     def _open(self) -> SparkSession:
         if self.spark is None:

@@ -267,3 +267,53 @@ def test_config_limits():
         with pytest.raises(ValueError):
             build(Pipeline, bad)
     assert BarConfig() == Pipeline().bar and MARKETS["ES"].tick_size == 0.25
+
+
+def test_inputs_must_fit_together(spark):
+    rows = blocks.indexed(bars(spark, walk(60))).withColumn("strategy_version", F.lit("v"))
+    validate.require_context_rows(rows)
+    validate.require_synchronised(rows, rows, "v")
+    moved = rows.withColumn("bar_index", F.col("bar_index") + (F.col("bar_index") > 30).cast("int"))
+    for wrong in (moved, rows.withColumn("strategy_version", F.lit("w")), rows.where("bar_index <> 7")):
+        with pytest.raises(validate.InvalidBars):
+            validate.require_synchronised(rows, wrong, "v")
+    for wrong in (rows.withColumn("close", F.lit(float("nan"))), rows.withColumn("symbol", F.lit(None).cast("string")), rows.unionByName(rows.where("bar_index = 3")), rows.withColumn("bar_index", -F.col("bar_index"))):
+        with pytest.raises(validate.InvalidBars):
+            validate.require_context_rows(wrong)
+    cfg = dataclasses.replace(Pipeline(), strategy_version="v")
+    event = rows.where("bar_index = 40").withColumn("start_index", F.lit(30).cast("long"))
+    setups.require_point_in_time(event, rows, cfg)
+    for some in (rows.where("bar_index <> 12"), rows.withColumn("timestamp", F.col("timestamp") + F.expr("interval 1 second"))):
+        with pytest.raises(ValueError, match="without their bars"):
+            setups.require_point_in_time(event, some, cfg)
+    accepted = event.withColumn("accepted", F.lit(True))
+    execution.require_match(rows, accepted, cfg)
+    assert setups.signals(accepted, "v").count() == 1
+    with pytest.raises(ValueError, match="another version"):
+        setups.signals(accepted, "w")
+    with pytest.raises(ValueError):
+        execution.require_match(rows.where("bar_index < 40"), accepted, cfg)
+
+
+def test_order_history(spark):
+    cfg = dataclasses.replace(Pipeline(), execution=ExecutionConfig(slippage_ticks=0, commission=0.0))
+    prices = [(100, 101, 99, 100), (100, 101.5, 100, 101), (101, 102, 100.5, 101), (101, 106, 101, 105.5), (105, 105.2, 104.8, 105), (105, 105.1, 104.9, 105), (105, 107, 104.9, 106), (106, 106.5, 105.5, 106)]
+    numbered = blocks.indexed(bars(spark, prices))
+    signals = [(0, "LONG", 101.2, 99.0, 105.0), (1, "LONG", 102.0, 99.0, 105.0), (4, "LONG", 109.0, 99.0, 120.0), (5, "LONG", 106.0, 100.0, 120.0)]
+    accepted = spark.createDataFrame([("A", "5m", *r) for r in signals], "symbol string, timeframe string, bar_index long, direction string, entry double, stop double, target double")
+    sim = execution.simulate(numbered, accepted, cfg, record_rejected=True)
+    got = [(r.order_id[-1], r.seq, r.order_type, r.status, r.price, r.filled_price, r.rejection) for r in execution.order_history(sim).orderBy("order_id", "seq").collect()]
+    assert got == [
+        ("1", 1, "STOP", "PENDING", 101.2, None, None), ("1", 2, "STOP", "FILLED", 101.2, 101.2, None), ("2", 2, "STOP", "REJECTED", 102.0, None, "existing_position_or_pending_entry"),
+        ("3", 2, "LIMIT", "FILLED", 105.0, 105.0, None), ("4", 1, "STOP", "PENDING", 109.0, None, None), ("4", 2, "STOP", "CANCELLED", 109.0, None, "PENDING_ORDER_EXPIRED"),
+        ("5", 1, "STOP", "PENDING", 106.0, None, None), ("5", 2, "STOP", "FILLED", 106.0, 106.0, None), ("6", 2, "MARKET", "FILLED", None, 106.0, None),
+    ]
+    last = {r.order_id[-1]: r.status for r in execution.order_states(execution.order_history(sim)).collect()}
+    assert last == {"1": "FILLED", "2": "REJECTED", "3": "FILLED", "4": "CANCELLED", "5": "FILLED", "6": "FILLED"}
+    assert execution.simulate(numbered, accepted, cfg).where("status = 'REJECTED'").count() == 0
+
+
+def test_transition_log_is_ordered(spark):
+    spine = setups.spine(bars(spark, walk(400, 4)), Pipeline())
+    log = patterns.transition_log(patterns.detect(spine, Pipeline())).collect()
+    assert log and [(r.bar_index, r.detector) for r in log] == sorted((r.bar_index, r.detector) for r in log)

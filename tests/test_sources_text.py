@@ -106,7 +106,9 @@ def test_vendor(spark):
     spans = list(vendor.windows(D(2025, 1, 1), D(2025, 3, 1)))
     assert spans[0][1] == D(2025, 3, 1) and spans[-1][0] == D(2025, 1, 1) and all(a[0] == b[1] for a, b in zip(spans, spans[1:]))
     got = vendor.download(spark, ["A", "B"], "2025-01-01", "2025-02-15", "test_sources_text:fake_client")
-    assert got.rdd.getNumPartitions() == 4 and got.schema == vendor.bars_frame(spark, "A", []).schema
+    assert got.rdd.getNumPartitions() == 4 and got.schema == spark.createDataFrame([], vendor.SCHEMA).schema
+    with pytest.raises(vendor.VendorError, match="no bars"):
+        vendor.bars_frame(spark, "A", [])
 
 
 def test_markdown(spark):
@@ -223,3 +225,111 @@ def test_paragraph_lines(spark, tmp_path):
     (tmp_path / "q" / "x.json").write_text("{broken\n")
     with pytest.raises(Exception):  # noqa: B017
         store.read_paragraphs(spark, str(tmp_path / "q")).collect()
+
+
+def test_chunks_are_requested_once_paced_and_repaired(spark, tmp_path):
+    class Counting:
+        asked, pauses = [], []
+
+        def resolve(self, symbol):
+            return [symbol] if symbol != "AMB" else ["x", "y"]
+
+        def errors(self):
+            return [(2104, "farm ok")] if "BAD" not in str(self.asked[-1]) else [(200, "no definition")]
+
+        def minute_bars(self, symbol, start, end):
+            self.asked.append((symbol, start))
+            price = 5.0 if end - start == dt.timedelta(days=1) else 1.0
+            return [(start + dt.timedelta(hours=15, minutes=i), price, price + 1, price - 0.5, price, 1.0) for i in range(3)]
+
+    client, chunks = Counting(), store.ChunkStore(spark, str(tmp_path / "c"))
+    asked = vendor.download_chunks(chunks, client, ["A"], D(2025, 1, 1), D(2025, 2, 20), sleep=client.pauses.append)
+    assert [d for _, d in asked] == [dt.date(2025, 2, 20), dt.date(2025, 1, 21)] and client.pauses == [11.0]
+    assert vendor.download_chunks(chunks, client, ["A"], D(2025, 1, 1), D(2025, 2, 20), sleep=client.pauses.append) == []
+    assert chunks.request("A", dt.date(2025, 2, 20))["start"] == "2025-01-21T00:00:00"
+    missing = spark.createDataFrame([("A", dt.date(2025, 1, 21))], "symbol string, session_date date")
+    assert vendor.repair_sessions(chunks, client, "A", missing, sleep=client.pauses.append) == [dt.date(2025, 1, 21)]
+    assert vendor.repair_sessions(chunks, client, "A", missing, sleep=client.pauses.append) == []
+    assert {r.timestamp.date(): r.close for r in chunks.merged().collect()} == {dt.date(2025, 1, 1): 1.0, dt.date(2025, 1, 21): 5.0}
+    for symbol in ("AMB", "BAD"):
+        with pytest.raises(vendor.VendorError):
+            vendor.fetch(client, symbol, D(2025, 1, 1), D(2025, 1, 2))
+
+
+def test_typed_sinks_keep_their_schema(spark, tmp_path):
+    none = spark.createDataFrame([], "symbol string, extra int")
+    store.write_trade_log(none, str(tmp_path / "t")), store.write_statistics(none, str(tmp_path / "s"))
+    assert len(spark.read.parquet(str(tmp_path / "t")).columns) == 38 and len(spark.read.parquet(str(tmp_path / "s")).columns) == 26
+    rows = spark.createDataFrame([("b", D(2025, 1, 2), 1), ("a", D(2025, 1, 2), 2), ("c", D(2025, 1, 1), 3)], "trade_id string, entry_time timestamp, bars_held bigint")
+    store.write_trade_log(rows, str(tmp_path / "t"))
+    got = store.read_trade_log(spark, str(tmp_path / "t"))
+    assert [r.trade_id for r in got.collect()] == ["c", "a", "b"] and dict(got.dtypes)["bars_held"] == "int"
+    assert store.read_statistics(spark, str(tmp_path / "none")).count() == 0
+    for folder in ("trades/experiment=a_1", "trades/experiment=b_2", "trades/default"):
+        rows.write.parquet(str(tmp_path / "x" / folder))
+    assert [p.rsplit("/", 1)[1] for p in store.artifacts(spark, str(tmp_path / "x"))] == ["default", "experiment=b_2", "experiment=a_1"]
+    store.write_manifest(spark.createDataFrame([("SPY", 1)], "symbol string, n int"), spark.createDataFrame([("QQQ", 2), ("SPY", 3)], "symbol string, n int"), ["symbol"], str(tmp_path / "m"))
+    assert [(r.symbol, r.n) for r in spark.read.json(str(tmp_path / "m")).collect()] == [("QQQ", 2), ("SPY", 3)]
+
+
+def test_index_knows_its_content(spark, tmp_path):
+    paragraphs = spark.createDataFrame([(i, "B", "One", None, i, f"second entry number {i}", "b.md", "b.md") for i in range(1, 4)], "seq long, book string, chapter string, section string, paragraph int, text string, source_file string, source_document string")
+    chunked = text.chunks(paragraphs, "seq", KnowledgeConfig(target_characters=20, maximum_characters=40))
+    base = str(tmp_path / "i")
+    store.save_index(chunked, text.embed(chunked, "chunk_id", "text"), base)
+    assert store.load_index(spark, base)[0].count() == 3
+    kept = {n: [tuple(r) for r in spark.read.parquet(f"{base}/{n}").collect()] for n in ("chunks", "vectors")}
+    for name, change in (("chunks", F.concat("text", F.lit("!"))), ("vectors", F.transform("vector", lambda x: x * 2))):
+        schema, column = spark.read.parquet(f"{base}/{name}").schema, "text" if name == "chunks" else "vector"
+        spark.createDataFrame(kept[name], schema).withColumn(column, change.cast(schema[column].dataType)).write.mode("overwrite").parquet(f"{base}/{name}")
+        with pytest.raises(ValueError, match=name):
+            store.load_index(spark, base)
+        spark.createDataFrame(kept[name], schema).write.mode("overwrite").parquet(f"{base}/{name}")
+    assert store.load_index(spark, base)[1].count() == 3
+
+
+def test_paragraph_lines_and_books(spark, tmp_path):
+    good = {"book": "B", "chapter": "C", "section": None, "paragraph": 1, "text": "x", "source_file": "f", "source_document": "f"}
+    (tmp_path / "p.jsonl").write_text("\n".join([json.dumps(good), "", json.dumps(good)]))
+    assert store.read_paragraphs(spark, str(tmp_path / "p.jsonl")).count() == 2
+    (tmp_path / "q.jsonl").write_text("\n".join([json.dumps(good), "", "{broken", json.dumps(good | {"text": None})]))
+    with pytest.raises(ValueError, match=r"lines \[3, 4\]"):
+        store.read_paragraphs(spark, str(tmp_path / "q.jsonl"))
+    (tmp_path / "book.md").write_text("# One\n\nText of **one**.\n")
+    assert [(r.book, r.chapter, r.text) for r in store.parse_book(spark, str(tmp_path / "book.md")).collect()] == [("book", "One", "Text of one.")]
+    with pytest.raises(ValueError):
+        store.parse_book(spark, "a.pdf")
+
+
+def test_statistics_in_prompts(spark):
+    s = spark.createDataFrame([("k", "A", "5m", "v", "H2", "BULL_TREND", "LONG")], "k string, symbol string, timeframe string, strategy_version string, pattern_type string, regime string, direction string")
+    cols = ["total", "wins", "losses", "win_rate", "probability_win", "expectancy_r", "profit_factor", "max_drawdown"]
+    row = ("A", "5m", "v", "PATTERN_REGIME", "H2", "BULL_TREND", *[1.0] * len(cols))
+    schema = "symbol string, timeframe string, strategy_version string, scope string, pattern_type string, market_regime string, " + ", ".join(f"{c} double" for c in cols)
+    stats = spark.createDataFrame([row, ("A", "5m", "w", *row[3:]), (*row[:3], "PATTERN", *row[4:])], schema)
+    found = explain.matching_statistics(s, "k", stats)
+    assert [r.statistics.total for r in found.collect()] == [1.0]
+    prompt = explain.prompts(s, "k", None, found).first().user_prompt
+    assert json.loads(prompt.split("\n")[2])["statistics"]["win_rate"] == 1.0
+    with pytest.raises(ValueError, match="several"):
+        explain.matching_statistics(s, "k", stats.unionByName(stats))
+    explain.require_provenance(s, "k", stats.where("strategy_version = 'v'").withColumn("k", F.lit("k")))
+    with pytest.raises(ValueError, match="another series"):
+        explain.require_provenance(s, "k", stats.withColumn("k", F.lit("k")))
+
+
+def test_database_and_progress(spark, tmp_path):
+    from barkeel.session import clear_durable, durable, watched
+
+    with QueryEngine(spark, str(tmp_path / "db")) as q:
+        q.save("t", spark.range(5))
+    with QueryEngine(spark, str(tmp_path / "db"), read_only=True) as q:
+        assert q.query("select count(*) n from t").first().n == 5
+        with pytest.raises(PermissionError):
+            q.save("u", spark.range(1))
+    with pytest.raises(FileNotFoundError):
+        QueryEngine(spark, str(tmp_path / "no"), read_only=True)
+    told = []
+    assert watched(spark.range(1000).repartition(7), lambda a, b: told.append((a, b)), 0.01).count() == 1000
+    assert told[0] == (0, 0) and told[-1][0] == told[-1][1] > 0 and told == sorted(told)
+    assert durable(spark.range(3)).count() == 3 and clear_durable(spark) >= 2 and clear_durable(spark) == 0

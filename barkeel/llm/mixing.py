@@ -13,8 +13,8 @@ Defined results: null text has no tokens; records of a source that is null or ha
 no target are used 0 times and reported with a target of 0; sources with a target
 but without tokens cannot contribute, and the others' shares are scaled up to
 sum to 1; a null max_repeats means 1; records with one id (repeated rows) go
-together; empty tables give empty results.  A source's share misses its target by
-the records of one hash at most, usually by less than one record.
+together; empty tables give empty results.  A source's tokens miss their budget by
+half of the tokens of one hash at most, usually by half a record.
 """
 
 from __future__ import annotations
@@ -33,11 +33,17 @@ from barkeel.session import durable
 
 @dataclass(frozen=True)
 class MixRule:
-    """Tokenizer file (None: the public 50k byte-level BPE), hash bits per level, levels."""
+    """Tokenizer file (None: the public 50k byte-level BPE), hash bits per level, levels, wanted tokens.
+
+    Without ``tokens`` the mix is the largest one in which all sources keep their
+    shares.  With it, each source gets its share of that many tokens, and a source
+    that is too small for its share gives all it may and falls short of it.
+    """
 
     vocabulary: str | None = None
     bits: int = 12
     levels: int = 5
+    tokens: int | None = None
 
 
 _ENCODERS: dict[str | None, object] = {}
@@ -69,7 +75,7 @@ def count_tokens(df: DataFrame, record: str = "doc_id", source: str = "source",
     return rows.mapInArrow(work, f"record_id {kind}, source string, n_tokens bigint")
 
 
-def budgets(counted: DataFrame, targets: DataFrame) -> DataFrame:
+def budgets(counted: DataFrame, targets: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     """Per source with tokens and a target: share, budget, copies of all, rest below a threshold."""
     totals = counted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("total"))
     wish = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(
@@ -78,7 +84,8 @@ def budgets(counted: DataFrame, targets: DataFrame) -> DataFrame:
     both = totals.where("total > 0").join(wish.where("cap > 0"), "source")
     all_ = W.partitionBy(F.lit(0))
     both = both.withColumn("share", F.col("share") / F.sum("share").over(all_))
-    both = both.withColumn("mix", F.min(F.col("cap") * F.col("total") / F.col("share")).over(all_))
+    largest = F.min(F.col("cap") * F.col("total") / F.col("share")).over(all_)
+    both = both.withColumn("mix", largest if rule.tokens is None else F.lit(float(rule.tokens)))
     budget = F.least(F.col("share") * F.col("mix"), (F.col("cap") * F.col("total")).cast("double"))
     both = both.withColumn("budget", F.floor(budget + 1e-6).cast("bigint"))
     return both.withColumn("copies", F.expr("budget div total")).withColumn("rest", F.expr("budget % total"))
@@ -90,7 +97,7 @@ def _bucket(level: int, rule: MixRule) -> Column:
 
 
 def thresholds(counted: DataFrame, wanted: DataFrame, rule: MixRule) -> DataFrame:
-    """Per source the hash below which its tokens sum to the rest or just less."""
+    """Per source the hash below which its tokens sum to the rest, or to the nearer one of the two sums beside it."""
     level = wanted.select("source", "rest", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("spent"))
     for k in range(rule.levels):
         mine = counted.withColumnRenamed("source", "_source")
@@ -100,6 +107,9 @@ def thresholds(counted: DataFrame, wanted: DataFrame, rule: MixRule) -> DataFram
         run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
         upto = sums.withColumn("upto", F.col("spent") + F.sum("tokens").over(run))
         over = upto.where(F.col("upto") > F.col("rest"))
+        if k == rule.levels - 1:  # the records of the last hash are taken whole or not at all
+            nearer = (F.col("rest") > 0) & (F.col("upto") - F.col("rest") < F.col("rest") - (F.col("upto") - F.col("tokens")))
+            over = over.withColumn("bucket", F.col("bucket") + F.when(nearer, 1).otherwise(0)).withColumn("tokens", F.when(nearer, 0).otherwise(F.col("tokens")))
         level = over.groupBy("source", "rest").agg(F.min_by(F.struct(F.col("bucket").alias("prefix"), (F.col("upto") - F.col("tokens")).alias("spent")), "bucket").alias("b")).select("source", "rest", "b.prefix", "b.spent")
     return level.select("source", F.col("prefix").alias("threshold"), F.col("spent").alias("expected"))
 
@@ -113,7 +123,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, rule: MixRule = MixRule())
     top = rule.bits * rule.levels
     hashed = count_tokens(docs, vocabulary=rule.vocabulary).withColumn("hash", F.shiftrightunsigned(F.xxhash64(F.col("record_id")), 64 - top))
     counted = durable(hashed)
-    plan = durable(budgets(counted, targets).select("source", "share", "copies", "rest"))
+    plan = durable(budgets(counted, targets, rule).select("source", "share", "copies", "rest"))
     limits = thresholds(counted, plan, rule)
     chosen = plan.join(limits, "source", "left").select(F.col("source").alias("_s"), "copies", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     mix = counted.join(chosen, counted["source"] == chosen["_s"], "left").select(

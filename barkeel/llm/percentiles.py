@@ -104,6 +104,20 @@ def rank_summary(runs: DataFrame, groups: Sequence[str], size: int = 200) -> Dat
     return kept.select(*keys, "part", "value", "n", bucket.alias("_b")).groupBy(*keys, "part", "_b").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n")).drop("part", "_b")
 
 
+def compact_summary(summary: DataFrame, groups: Sequence[str], size: int = 200) -> DataFrame:
+    """The same with about ``size`` buckets a group again, for summaries that were merged day by day.
+
+    Neighbours by their low end are joined until they hold n/size values, so bounds
+    stay true and widen by one such bucket at most for each time of compacting.
+    """
+    keys = [*groups, "measure"]
+    w = W.partitionBy(*keys)
+    upto = F.sum("n").over(w.orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, W.currentRow))
+    step = F.greatest(F.floor(F.sum("n").over(w) / size), F.lit(1))
+    numbered = summary.select(*keys, "lo", "hi", "n", F.floor((upto - 1) / step).alias("_b"))
+    return numbered.groupBy(*keys, "_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_b")
+
+
 def percentiles_of_summaries(summary: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Percentiles of merged summaries: groups, measure, p, n_values, lower, upper.
 

@@ -54,6 +54,16 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(table(spark, d, "book_paragraphs")).select(*cols)
 
 
+def p6_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Per row, the digest of its pieces put together again without their overlaps, and how many pieces are too long, out of order or do not overlap as given."""
+    p = split_items(table(spark, d, "book_paragraphs"))
+    body = F.substring(F.col("piece_text"), F.col("overlap") + 1, F.lit(1 << 30))
+    inside = F.struct("piece", body.alias("body"), "start", "end", "pieces", "overlap", F.length("piece_text").alias("size"))
+    rows = p.groupBy("para_id").agg(F.sort_array(F.collect_list(inside)).alias("p"))
+    wrong = lambda x, i: (x["size"] > 1400) | (x["piece"] != i + 1) | (x["pieces"] != F.size("p")) | (x["overlap"] != F.least(F.lit(100), x["start"])) | (x["start"] != F.coalesce(F.get("p", i - 1)["end"], F.lit(0))) | (x["size"] != x["end"] - x["start"] + x["overlap"])
+    return rows.select("para_id", F.md5(F.array_join(F.transform("p", lambda x: x["body"]), "")).alias("digest"), F.size(F.filter("p", wrong)).alias("n_wrong"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -76,6 +86,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumn("share", F.round("share", 9))
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the targets with text: tokens within one record of the budget, and no record used too often."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mix, report = mix_sources(docs, targets)
+    mix = durable(mix)
+    largest = mix.groupBy("source").agg(F.max("n_tokens").alias("largest"), F.max("copies").alias("most"))
+    total = report.agg(F.sum("tokens").alias("all")).first()["all"] or 0
+    both = report.where("target_share > 0 and tokens > 0").join(largest, "source").join(targets.groupBy("source").agg(F.max("max_repeats").alias("cap")), "source")
+    slack = both.agg(F.sum("largest")).first()[0] or 0  # one row per source
+    near = F.abs(F.col("tokens") - F.col("target_share") * total) <= F.col("largest") + F.col("target_share") * slack
+    return both.select("source", near.alias("within"), (F.col("most") <= F.col("cap")).alias("capped"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return find_residue(table(spark, d, "documents")).select("doc_id")
 
@@ -86,7 +109,7 @@ def p10_templates(spark: SparkSession, d: str) -> DataFrame:
     return templates.select("kind", "why", "template", F.col("forms").alias("n_messages"), F.col("docs").alias("n_docs"), F.col("accompanied").alias("n_accompanied"))
 
 
-QUERIES = {f.__name__: f for f in (p5_percentiles, p5_combined_versions, p5_bounds, p6_found, p6_pieces, p8_found, p8_leak_report, p9_mix, p9_shares, p10_found, p10_templates)}
+QUERIES = {f.__name__: f for f in (p5_percentiles, p5_combined_versions, p5_bounds, p6_found, p6_pieces, p6_rejoined, p8_found, p8_leak_report, p9_mix, p9_shares, p9_check, p10_found, p10_templates)}
 
 _P5 = """
 WITH t AS (SELECT pattern_type, market_regime, pnl_r, mfe_r FROM trade_log QUALIFY trade_id IS NULL OR row_number() OVER (PARTITION BY trade_id ORDER BY row_id DESC) = 1),
@@ -98,5 +121,7 @@ SELECT pattern_type, market_regime, measure, n_values, unnest([0.05::DOUBLE, 0.2
 ORACLE = {
     "p5_percentiles": _P5,
     "p5_combined_versions": _P5,
+    "p6_rejoined": "SELECT para_id, md5(text) AS digest, 0 AS n_wrong FROM book_paragraphs WHERE text IS NOT NULL",
+    "p9_check": "SELECT DISTINCT source, true AS within, true AS capped FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '') AND target_share > 0",
     "p6_found": "SELECT para_id FROM book_paragraphs WHERE length(text) > 1400",
 }

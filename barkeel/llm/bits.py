@@ -1,0 +1,58 @@
+"""Bit filters of bounded size: which of many 64-bit keys may be among some known ones.
+
+A filter has 64 bits a key up to a given size, and four probes; it lets some
+foreign keys through, never keeps a known one back.  It is made by an aggregate
+over words of 64 bits; only these words, bounded by the size, come to the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_PROBES = 4
+
+
+def spread(keys: np.ndarray) -> np.ndarray:
+    """Keys mixed so that each stretch of bits is good for a filter probe."""
+    with np.errstate(over="ignore"):
+        x = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _probe(x: np.ndarray, k: int, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        turned = (x << np.uint64(16 * k)) | (x >> np.uint64(64 - 16 * k)) if k else x
+        return ((turned * np.uint64(2 * k + 1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bit_filter(keys: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """The filter of the column ``key`` (bigint) and its size as a power of two."""
+    known = keys.select("key").distinct()
+    bits = min(most_bits, max(16, int(64 * known.count()).bit_length()))
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = spread(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            at = np.concatenate([_probe(x, k, bits) for k in range(_PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "bits"])
+
+    words = known.mapInArrow(probes, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(most_bits - 6) rows
+    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return table, bits
+
+
+def passes(keys: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the keys that the filter lets through."""
+    at, x = np.arange(len(keys)), spread(keys)
+    for k in range(_PROBES):
+        p = _probe(x, k, bits)
+        on = (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+        at, x = at[on], x[on]
+    return at

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barkeel.llm.bits import bit_filter, passes
 from barkeel.session import durable
 
 
@@ -60,7 +61,6 @@ _SOFT_SPLIT = re.compile("\u00ad[ \\t]*\\r?\\n[ \\t]*")
 _SPLIT = re.compile("[-\u2010\u2011][ \\t]*\\r?\\n[ \\t>]*(?=\\w)")
 _TOKEN = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x100000001B3)
-_PROBES = 4
 
 
 def _unescaped(m: re.Match) -> str:
@@ -137,14 +137,6 @@ def rolling(words: np.ndarray, run: int) -> np.ndarray:
             weight, length = weight * weight, length * 2
 
 
-def spread(seeds: np.ndarray) -> np.ndarray:
-    """Seeds mixed so that each stretch of bits is good for a filter probe."""
-    with np.errstate(over="ignore"):
-        x = (seeds ^ (seeds >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def tile(doc: np.ndarray, item: np.ndarray, run: int) -> int:
     """Words of ``item`` under greedy tiles; a 0 in ``doc`` is a gap.
 
@@ -232,40 +224,6 @@ def item_side(items: DataFrame, rule: LeakRule) -> DataFrame:
     return rows.mapInArrow(work, _SIDE.format(key="item_id", kind=kind))
 
 
-def seed_filter(sides: DataFrame, rule: LeakRule) -> tuple[np.ndarray, int]:
-    """A bit filter of all seeds, 64 bits a seed up to ``filter_bits``, and its size as a power of two."""
-    seeds = sides.select(F.explode("seeds").alias("seed")).distinct()
-    count = seeds.count()
-    bits = min(rule.filter_bits, max(16, int(64 * count).bit_length()))
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = spread(b.column("seed").to_numpy(zero_copy_only=False).view(np.uint64))
-            at = np.concatenate([_probe(x, k, bits) for k in range(_PROBES)])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "bits"])
-
-    words = seeds.mapInArrow(probes, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2**(filter_bits - 6) rows
-    table = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    table[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return table, bits
-
-
-def _probe(x: np.ndarray, k: int, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        turned = (x << np.uint64(16 * k)) | (x >> np.uint64((64 - 16 * k) % 64)) if k else x
-        return ((turned * np.uint64(2 * k + 1)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def passes(seeds: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the seeds that the filter lets through."""
-    at, x = np.arange(len(seeds)), spread(seeds)
-    for k in range(_PROBES):
-        p = _probe(x, k, bits)
-        on = (table[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-        at, x = at[on], x[on]
-    return at
-
-
 def doc_side(docs: DataFrame, shared, bits: int, rule: LeakRule) -> DataFrame:
     """doc_id, hash of the text, words under its seeds in the filter (0 between stretches) and these seeds, of documents with any."""
     kind, run = docs.schema["doc_id"].dataType.simpleString(), rule.run
@@ -320,7 +278,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rule: LeakRule = LeakRule()) -
     """doc_id, item_id, covered_words, passage_words, coverage of every leak."""
     spark = docs.sparkSession
     tests = durable(item_side(items, rule).dropDuplicates(["item_id", "hash"]))
-    table, bits = seed_filter(tests, rule)
+    table, bits = bit_filter(tests.select(F.explode("seeds").alias("key")), rule.filter_bits)
     shared = spark.sparkContext.broadcast(table)  # 2**(filter_bits - 3) bytes at most
     read = durable(doc_side(docs, shared, bits, rule))
     uses = tests.select("item_id", F.col("hash").alias("item_hash"), F.size("words").alias("n"), F.explode("seeds").alias("seed"))

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barkeel.llm.bits import bit_filter, passes
 from barkeel.llm.lexicon import CUES, FUNCTION_WORDS, MASHED_KEYS, VERDICTS
 from barkeel.session import durable
 from barkeel.shards import sharded_map
@@ -60,7 +61,8 @@ class TreeRule:
     A seeded template is freed from ``free_forms`` messages on, if it has ``free_words``
     words or more and at least ``free_share`` of them vary.  A template is associated
     from ``support`` documents on, if ``company`` of them hold another seeded template
-    and these are of ``partners`` different kinds or more.
+    and these are of ``partners`` different kinds or more.  ``filter_bits`` bounds the
+    filter of kept messages, as a power of 2.
     """
 
     depth: int = 3
@@ -72,6 +74,7 @@ class TreeRule:
     support: int = 4
     company: float = 0.9
     partners: int = 3
+    filter_bits: int = 29
 
 
 WILD = "<*>"
@@ -287,8 +290,20 @@ def mined(scanned: DataFrame, rule: TreeRule = TreeRule()) -> DataFrame:
     """key, template, tid, varying, words, seed (kind or null) of all messages in the tree."""
     said = scanned.select(F.explode("msgs").alias("m"))
     counted = said.groupBy(F.col("m.key").alias("key")).agg(F.count(F.lit(1)).alias("docs"), F.bool_or("m.cue").alias("cue")).where("docs > 1 or cue").select("key")
-    # written first, so that its size is known: while it is small, no message text is shuffled for the join
-    inside = said.select("m.key", "m.masked").join(durable(counted), "key").dropDuplicates(["key"])
+    counted = durable(counted)
+    table, bits = bit_filter(counted, rule.filter_bits)
+    shared = scanned.sparkSession.sparkContext.broadcast(table)  # 2**(filter_bits - 3) bytes at most
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            messages_ = b.column("msgs").flatten()
+            keys = messages_.field("key")
+            at = pa.array(passes(keys.to_numpy(zero_copy_only=False).view(np.uint64), shared.value, bits))
+            yield pa.RecordBatch.from_arrays([keys.take(at), messages_.field("masked").take(at)], names=["key", "masked"])
+
+    # the filter keeps the text of nearly all other messages out of the shuffle, the join the rest
+    few = scanned.select("msgs").mapInArrow(likely, "key bigint, masked string")
+    inside = few.dropDuplicates(["key"]).join(counted, "key")
     ws = F.split("masked", " ")
     inside = durable(inside.withColumn("leaf", F.xxhash64(F.size(ws), F.slice(ws, 1, rule.depth))))
     sizes = inside.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rule.leaf)

@@ -48,7 +48,9 @@ def _ema(period: int, blocks: Blocks) -> Column:
     i = (F.col("bar_index") - first).cast("double")
     weight = F.when(i == 0, 1.0).otherwise(alpha)
     total = F.sum(weight * F.col("close") * F.pow(F.lit(q), -i)).over(over_block().rowsBetween(W.unboundedPreceding, W.currentRow))
-    return total * F.pow(F.lit(q), i)
+    average = total * F.pow(F.lit(q), i)
+    # an average that differs from the close by the rounding of the powers alone is the close: its sign would be noise
+    return F.when(F.abs(average - F.col("close")) <= 1e-12 * F.abs("close"), F.col("close")).otherwise(average)
 
 
 def _with_features(rows: DataFrame, cfg: Pipeline, blocks: Blocks) -> DataFrame:

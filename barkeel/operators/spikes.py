@@ -7,7 +7,9 @@ shifts for good is therefore no spike: the chart that comes from its far side
 finds nothing odd.  Suspected values are clipped before they touch mean and
 scale, a run-length counter re-centres a chart after a few suspects that agree
 with each other, another counts bars that repeat close and high, and physical
-limits catch what no bar can be.
+limits catch what no bar can be.  Charts and counters of a block begin in its halo, 64 bars or five days
+long, whichever is more; a series with fewer bars in it starts its charts from what is there, and a stuck
+run that crosses a border is counted from the halo's first bar on.
 
 Defined results: rows with null symbol, timeframe or timestamp are judged by the
 physical limits alone; null close, high or volume is never a case by itself and

@@ -113,7 +113,7 @@ def sql_set_difference(spark: SparkSession, d: str) -> DataFrame:
     engine = QueryEngine(spark)
     engine.register_parquet("q_c", f"{d}/customer.parquet")
     engine.register_parquet("q_o", f"{d}/orders.parquet")
-    return engine.query("SELECT c_custkey FROM q_c EXCEPT SELECT o_custkey FROM q_o")
+    return engine.query("SELECT c_custkey FROM q_c EXCEPT SELECT o_custkey FROM q_o WHERE o_totalprice > :much", {"much": 400000.0})
 
 
 def partition_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -244,7 +244,7 @@ SELECT feature, count(*) AS n FROM f GROUP BY feature""",
     "sql_parameterized": """SELECT n.n_name, o.o_orderpriority, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 100000 GROUP BY n.n_name, o.o_orderpriority""",
     "sql_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
-    "sql_set_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_set_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "manifest_upsert": "SELECT feed, coalesce(zone_name, 'UTC') AS zone_name, date_order FROM feeds",
     "partition_catalog": _CLEAN + "SELECT symbol, timeframe, count(*) AS n_bars FROM b GROUP BY ALL",
     "stream_bars": _BARS + "SELECT symbol, epoch(timestamp)::BIGINT AS ts_s, open, high, low, close, volume FROM b",

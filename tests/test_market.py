@@ -317,3 +317,9 @@ def test_transition_log_is_ordered(spark):
     spine = setups.spine(bars(spark, walk(400, 4)), Pipeline())
     log = patterns.transition_log(patterns.detect(spine, Pipeline())).collect()
     assert log and [(r.bar_index, r.detector) for r in log] == sorted((r.bar_index, r.detector) for r in log)
+
+
+def test_an_unchanged_close_has_no_sign(spark):
+    flat = [(p, p + 1, p - 1, 460.41) for p in (460.0, 459.5, 460.2, 459.9)]
+    rows = features.market_context(bars(spark, flat), Pipeline()).orderBy("bar_index").collect()
+    assert [r.ema_score for r in rows] == [0.0] * 4 and [r.overlap_score for r in rows] == [0.0] * 4

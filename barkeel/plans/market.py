@@ -18,7 +18,7 @@ from barkeel.config import Pipeline, StatisticsConfig
 from barkeel.functions.bars import expected_value, label, risk_reward, slug
 from barkeel.operators import execution, features, patterns, sessions, setups, statistics, validate, views
 from barkeel.operators.blocks import SERIES, indexed
-from barkeel.operators.clock import read_clocks
+from barkeel.operators.clock import certain_instants
 from barkeel.plans.market_sql import ORACLE as _SQL
 from barkeel.plans.market_sql import delivered
 from barkeel.plans.settings import SHIPPED, WIDE
@@ -221,10 +221,10 @@ def mfe_mae_excursion(spark: SparkSession, d: str, bars: Source = event_bars, ke
 
 def _conditions(spark: SparkSession, d: str, trades: DataFrame) -> DataFrame:
     """Completed trades with condition buckets, the session by the one instant that the entry time's text denotes."""
-    log = table(spark, d, "trade_log")
-    clocks = read_clocks(table(spark, d, "ohlcv_raw").limit(0), log, table(spark, d, "feeds")).where("readings = 1").select(F.col("rec_id").alias("_id"), F.timestamp_micros("utc_us").alias("_entry"))
+    read = certain_instants(table(spark, d, "trade_log"), "row_id", "entry_time", table(spark, d, "feeds"))
+    clocks = read.select(F.col("row_id").alias("_id"), F.timestamp_micros("utc_us").alias("_entry"))
     done = statistics.completed(trades)
-    timed = done.join(clocks, done["row_id"].cast("bigint") == clocks["_id"], "left")
+    timed = done.join(clocks, done["row_id"] == clocks["_id"], "left")
     return timed.withColumns(statistics.condition_columns(StatisticsConfig(), F.col("_entry"))).drop("_id", "_entry")
 
 

@@ -36,3 +36,22 @@ c11 AS (SELECT rec_table, feed, rec_id, utc_us FROM c10 UNION SELECT rec_table,
   FROM c1 WHERE regexp_matches(x, '^(\d{10}|\d{13}|\d{16}|\d{19})$')),
 clocks AS MATERIALIZED (SELECT rec_table, feed, rec_id, CAST(min(utc_us) AS BIGINT) AS utc_us, count(DISTINCT utc_us) AS readings FROM c11 GROUP BY ALL)
 """
+
+#: After CLOCKS: ``cand`` has a text's readings with their form, found by mapping them back; ``way`` walks the records of a (table, feed) by id, forwards for the
+#: costs (1 for a change of form, 2 for a step back in time) and backwards for the choice, where the earlier reading of a text goes first among equals.
+CHOICE = r""",
+seen AS (SELECT c.rec_table, c.feed, c.rec_id, c.utc_us, w.off IS NOT NULL AS named, CASE WHEN w.wall IS NULL THEN 100 + length(q.x) WHEN regexp_matches(q.dt, '^\d{4}[-/]') THEN 0 WHEN regexp_matches(q.dt, '^\d{8}$') THEN 1
+    WHEN regexp_matches(q.dt, '^\d+/') THEN CASE WHEN coalesce(q.ord, '') <> 'DMY' AND try_cast(right('20' || q.n[3], 4) || '-' || q.n[1] || '-' || q.n[2] AS DATE) = CAST(w.wall AS DATE) THEN 2
+         WHEN coalesce(q.ord, '') <> 'MDY' AND try_cast(right('20' || q.n[3], 4) || '-' || q.n[2] || '-' || q.n[1] AS DATE) = CAST(w.wall AS DATE) THEN 3 ELSE 4 END
+    WHEN regexp_matches(q.dt, '^\d+\.') THEN 5 WHEN regexp_matches(q.dt, '^\d+-') THEN 6 WHEN regexp_matches(q.dt, '^([A-Za-z]+, ?)?\d') THEN 7 ELSE 8 END AS form
+  FROM c11 c JOIN c7 q ON q.rec_table = c.rec_table AND q.rec_id = c.rec_id LEFT JOIN c9 w ON w.rec_table = c.rec_table AND w.rec_id = c.rec_id
+    AND CASE WHEN w.off IS NOT NULL THEN list_contains(w.off, (epoch_us(w.wall) + w.us - c.utc_us) / 60000000) ELSE timezone(w.zone, make_timestamptz(CAST(c.utc_us - w.us AS BIGINT))) = w.wall END),
+one AS (SELECT rec_table, feed, rec_id, CAST(utc_us AS BIGINT) AS utc_us, min(form) AS form, bool_or(named) AS named FROM seen GROUP BY ALL),
+cand AS MATERIALIZED (SELECT rec_table, rec_id, utc_us, form, dense_rank() OVER (ORDER BY rec_table, feed) AS g, dense_rank() OVER (PARTITION BY rec_table, feed ORDER BY rec_id) AS n,
+    row_number() OVER (PARTITION BY rec_table, rec_id ORDER BY form, CASE WHEN named THEN -utc_us ELSE utc_us END) AS i FROM one),
+costs AS (SELECT g, n, i, form, utc_us, 0 AS cost FROM cand WHERE n = 1
+  UNION ALL SELECT c.g, c.n, c.i, c.form, c.utc_us, min(p.cost + CAST(p.form <> c.form AS INT) + 2 * CAST(p.utc_us > c.utc_us AS INT)) FROM costs p JOIN cand c ON c.g = p.g AND c.n = p.n + 1 GROUP BY ALL),
+paid AS MATERIALIZED (SELECT * FROM costs),
+way AS (SELECT g, n, arg_min({'i': i, 'form': form, 'utc_us': utc_us}, row(cost, i)) AS c FROM paid WHERE (g, n) IN (SELECT (g, max(n)) FROM paid GROUP BY g) GROUP BY g, n
+  UNION ALL SELECT p.g, p.n, arg_min({'i': p.i, 'form': p.form, 'utc_us': p.utc_us}, row(p.cost + CAST(p.form <> w.c.form AS INT) + 2 * CAST(p.utc_us > w.c.utc_us AS INT), p.i)) FROM way w JOIN paid p ON p.g = w.g AND p.n = w.n - 1 GROUP BY p.g, p.n)
+"""
